@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import minhash_dedup, substring_dedup, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
+    "op10_warc_revisits": warc.op10_warc_revisits,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc_revisits": warc.OP10_SQL,
+}
