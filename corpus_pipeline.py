@@ -1,13 +1,74 @@
-"""A corpus pipeline of four or five stages over `documents`."""
+"""A corpus pipeline over `documents`: rules, near copies, secrets, mixture, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept.  All but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessara.llm import bpe, minhash_dedup, mixing, quality, secrets
+from tessara.llm.common import staged, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the boosted trees keep."""
+    forest = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, forest, carry=COLUMNS).filter("kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (shingles of 5 words, similarity 0.8 or more), that of the smallest id.
+
+    Repeated rows of that id are one document and leave one row.
+    """
+    found = minhash_dedup.near_duplicates(docs, n=5)
+    kept = staged(found.filter("kept").select("doc_id").distinct(), "kept")
+    rest = docs.select(*COLUMNS).join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    return rest.dropDuplicates(["doc_id"]) if _repeated(docs) else rest
+
+
+def _repeated(docs: DataFrame) -> bool:
+    return not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with its secrets replaced by a mark and n_chars counted anew."""
+    found = secrets.scan(docs.select(*COLUMNS), secrets.train(secrets.labelled_samples(docs)))
+    clean = secrets.redact(F.coalesce("text", F.lit("")), F.col("spans"))
+    return found.withColumn("text", clean).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*COLUMNS)
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out by Poisson counts, so that a source's share follows the square root of its mass; shuffled."""
+    return mixing.mix_sources(docs).select(*COLUMNS)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids_sha256 and decoded_sha256 of every copy in the mixture."""
+    return bpe.round_trip(docs, carry=["doc_id", "source"])
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_duplicates),
+    ("secret scans", secret_scan),
+    ("mixing sources", mix_to_weights),
+    ("byte-level BPE", encode_tokens),
+]
+
+#: SQL cannot express boosted trees or minimum hashes; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = staged(docs, f"pipeline-{k}")
     return docs

@@ -30,6 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .common import table
@@ -224,7 +225,7 @@ def _decode(ranks: bytes, pattern: str):
 
 def encode(docs: DataFrame, carry: list[str] = ["doc_id"], path: str | None = None, pattern: str | None = None) -> DataFrame:  # noqa: B006
     """The columns in carry, n_tokens and ids of every document."""
-    schema = docs.select(*carry).schema.add("n_tokens", "long").add("ids", "array<int>")
+    schema = docs.select(*carry).schema.add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType()))
     return docs.select(F.col("text").alias("__text"), *carry).mapInArrow(_encode(*_vocabulary(path, pattern), False), schema)
 
 
