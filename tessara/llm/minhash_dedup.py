@@ -8,9 +8,10 @@
    compared and k equal, the posterior of the similarity is Beta(1 + k, 1 + m - k);
    a pair goes once its chance of reaching the threshold is under `miss`.
 4. Survivors are verified on full shingle sets.
-5. Within a bucket all members meet a leader first.  Only members of different
-   components are still compared after that, so a bucket with one large group
-   of near copies costs a row per member, and no link between components is lost.
+5. Within a bucket all members meet a leader first.  After that only members of
+   different components are compared, in blocks of bounded size that give back
+   at most a spanning tree of links, so no pairs of a large group are listed
+   and no link between components is lost.
 
 Defined cases: null and word-free texts are linked with nothing and keep their
 own id; texts under n words are one shingle; equal rows are copies; a null
@@ -33,6 +34,9 @@ from .common import staged, table
 
 BANDS, BAND_ROWS = 32, 4
 BATCH = 32
+#: Members of a bucket that meet in one place; larger buckets are cut into blocks.
+BLOCK = 512
+SHARD_ROWS = 4000
 PERMUTATIONS = BANDS * BAND_ROWS
 _RNG = np.random.RandomState(20240229)
 _FLIP = _RNG.randint(0, 1 << 32, size=(PERMUTATIONS, 1), dtype=np.uint32)
@@ -103,11 +107,12 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, batch.num_rows, 4000):
             part = batch.slice(lo, 4000)
             m = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, BAND_ROWS).astype(np.uint64)
-            h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64)[None, :], m.shape[:2])
+            slot = np.broadcast_to(np.arange(BANDS, dtype=np.uint64)[None, :], m.shape[:2])
+            h = slot
             for i in range(BAND_ROWS):
                 h = K.mix((h * np.uint64(0x9E3779B97F4A7C15)) ^ m[:, :, i])
-            nodes = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), BANDS)))
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), nodes], ["band", "node"])
+            nodes = np.repeat(part.column(0).to_numpy(), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(slot.reshape(-1).astype(np.int32)), pa.array(nodes)], ["band", "slot", "node"])
 
 
 def _prune(floors: list[int]):
@@ -132,13 +137,72 @@ def _sets(n: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                want = part.column(0).to_pylist()
-                keys, sets = [], []
-                for w, s in zip(want, shingle_sets(part.column(1), n), strict=True):
-                    if set_key(s) == w:
-                        keys.append(w)
+                nodes, sets = [], []
+                for node, key, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(part.column(1), n), strict=True):
+                    if set_key(s) == key:
+                        nodes.append(node)
                         sets.append(s.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["node", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "items"])
+
+    return run
+
+
+def _agreeing(signs: np.ndarray, one: np.ndarray, among: np.ndarray, floors: list[int]) -> np.ndarray:
+    """Those of `among` (indices) that stay possible partners of signature `one`, batch by batch."""
+    equal = np.zeros(len(among), np.int64)
+    for step, floor in enumerate(floors):
+        cut = slice(step * BATCH, (step + 1) * BATCH)
+        equal += (signs[among, cut] == one[cut]).sum(axis=1)
+        good = equal >= floor
+        among, equal = among[good], equal[good]
+    return among
+
+
+def _compare(floors: list[int], percent: int):
+    """Links between components inside the buckets of a shard; a pair is looked at in the first bucket that it shares."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("band", "ascending"), ("q", "ascending"), ("m", "ascending"), ("node", "ascending")]).combine_chunks()
+        block = np.stack([rows[c].to_numpy() for c in ("band", "q", "m")])
+        starts = np.flatnonzero(np.r_[True, (block[:, 1:] != block[:, :-1]).any(axis=0)]) if rows.num_rows else np.empty(0, int)
+        node, root, slot = (rows[c].to_numpy() for c in ("node", "root", "slot"))
+        query, member = (rows[c].to_numpy(zero_copy_only=False) for c in ("query", "member"))
+        signs = np.frombuffer(b"".join(rows["sign"].to_pylist()), np.uint32).reshape(-1, PERMUTATIONS)
+        items = rows["items"].chunk(0) if rows["items"].num_chunks else pa.array([], pa.list_(pa.int64()))
+        at, values = items.offsets.to_numpy(), items.values.to_numpy().view(np.uint64)
+        above: dict[int, int] = {}
+
+        def find(r: int) -> int:
+            while r in above:
+                r = above[r]
+            return r
+
+        out: list[tuple[int, int]] = []
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True):
+            members = lo + np.flatnonzero(member[lo:hi])
+            for i in (lo + np.flatnonzero(query[lo:hi])).tolist():
+                # Of two queries in one block, the one with the larger node looks at the other.
+                rest = members[(root[members] != root[i]) & (~query[members] | (node[members] < node[i]))]
+                rest = _agreeing(signs, signs[i], rest, floors)
+                if not len(rest):
+                    continue
+                common = (signs[rest].reshape(-1, BANDS, BAND_ROWS) == signs[i].reshape(BANDS, BAND_ROWS)).all(axis=2)
+                rest = rest[common.argmax(axis=1) == slot[i]]
+                mine = find(int(root[i]))
+                rest = rest[np.array([find(r) != mine for r in root[rest].tolist()], bool)] if len(rest) else rest
+                if not len(rest):
+                    continue
+                own = values[at[i] : at[i + 1]]
+                sizes = at[rest + 1] - at[rest]
+                others = np.concatenate([values[at[j] : at[j + 1]] for j in rest.tolist()])
+                hit = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
+                both = np.add.reduceat(hit, np.r_[0, np.cumsum(sizes)[:-1]], dtype=np.int64)
+                for j in rest[100 * both >= percent * (len(own) + sizes - both)].tolist():
+                    x, y = find(int(root[i])), find(int(root[j]))
+                    if x != y:
+                        above[max(x, y)] = min(x, y)
+                        out.append((int(node[i]), int(node[j])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
 
@@ -171,58 +235,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-class _Graph:
-    """Links found so far between nodes, and how candidates become links."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame, n: int, percent: int, miss: float):
-        self.docs, self.nodes, self.n, self.percent = docs, nodes, n, percent
-        self.floors = posterior_floors(percent / 100, miss)
-        self.links: DataFrame | None = None
-        self.checked: DataFrame | None = None
-        self.roots: DataFrame | None = None
-
-    def check(self, pairs: DataFrame) -> int:
-        """Verify pairs (a < b) and add those that hold to the links; returns how many."""
-        pairs = pairs.distinct()
-        if self.checked is not None:
-            pairs = pairs.join(self.checked, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        self.checked = pairs if self.checked is None else self.checked.union(pairs)
-        signs = self.nodes.select("node", "sign")
-        survivors = staged(
-            pairs.join(signs.toDF("a", "x"), "a").join(signs.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_prune(self.floors), "a binary, b binary"),
-            "survivors",
-        )
-        if survivors.isEmpty():
-            return 0
-        involved = survivors.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes.select("node", "first_id"), "node")
-        sets = staged(
-            self.docs.select("doc_id", "text")
-            .join(involved, F.col("doc_id").eqNullSafe(F.col("first_id")))
-            .select("node", "text")
-            .mapInArrow(_sets(self.n), "node binary, items array<long>")
-            .groupBy("node")
-            .agg(F.first("items").alias("items")),
-            "sets",
-        )
-        both = F.size(F.array_intersect("x", "y"))
-        links = staged(
-            survivors.join(sets.toDF("a", "x"), "a")
-            .join(sets.toDF("b", "y"), "b")
-            .filter(both * 100 >= (F.size("x") + F.size("y") - both) * self.percent)
-            .select("a", "b"),
-            "links",
-        )
-        found = links.count()
-        if found:
-            self.links = links if self.links is None else self.links.union(links)
-            self.roots = components(self.links)
-        return found
-
-    def rooted(self, members: DataFrame) -> DataFrame:
-        if self.roots is None:
-            return members.withColumn("root", F.col("node"))
-        return members.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
@@ -232,39 +246,73 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float
     which the posterior bound may drop a pair that holds.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    signed = staged(docs.select("doc_id", "text").mapInArrow(_sign(n), f"doc_id {kind}, n_shingles long, node binary, sign binary"), "signed")
+    floors = posterior_floors(percent / 100, miss)
+    signed = staged(docs.select("doc_id", "text").mapInArrow(_sign(n), f"doc_id {kind}, n_shingles long, key binary, sign binary"), "signed")
+    # Numbers given once, in a written table, stay what they are.
     nodes = staged(
-        signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("sign").alias("sign")),
+        signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("sign").alias("sign")).withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    members = nodes.select("node", "sign").mapInArrow(_bands, "band long, node binary")
+    signs = nodes.select("node", "sign")
+    members = signs.mapInArrow(_bands, "band long, slot int, node long")
     shared = members.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1")
-    members = staged(members.join(shared, "band").select("band", "node", "leader"), "members")
-    graph = _Graph(docs, nodes, n, percent, miss)
-    graph.check(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")))
-    for turn in range(64):
-        rooted = graph.rooted(members.select("band", "node"))
-        by_root = rooted.groupBy("band", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("lead"))
-        mixed = by_root.groupBy("band").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inner"), F.max_by("root", F.struct("n", "root")).alias("top"), F.max_by("lead.node", F.struct("n", "root")).alias("lead")).filter("roots > 1")
-        mixed = staged(mixed, "mixed")
-        size = mixed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("inner")) / 2), F.lit(0)).alias("pairs")).first()
-        if not size.n:
-            break
-        open_ = rooted.join(mixed.select("band", "top", "lead"), "band")
-        if size.pairs <= 4 * size.n or turn == 63:
-            left, right = (open_.select("band", F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-            graph.check(left.join(right, "band").filter("a < b and root_a <> root_b").select("a", "b"))
-            break
-        # Everyone outside a bucket's largest component meets another member of it.
-        found = graph.check(open_.filter("root <> top").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")))
-        if not found and turn >= 2:
-            left = open_.filter("root <> top").select("band", F.col("node").alias("x"), F.col("root").alias("root_x"))
-            right = open_.select("band", F.col("node").alias("y"), F.col("root").alias("root_y"))
-            graph.check(left.join(right, "band").filter("root_x <> root_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-            break
-    owner = graph.rooted(nodes.select("node", "first_id"))
-    named = owner.join(owner.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    members = staged(members.join(shared, "band"), "members")
+
+    involved = members.select("node").distinct().join(nodes.select("node", "first_id", "key"), "node")
+    sets = staged(
+        docs.select("doc_id", "text")
+        .join(involved, F.col("doc_id").eqNullSafe(F.col("first_id")))
+        .select("node", "text", "key")
+        .mapInArrow(_sets(n), "node long, items array<long>")
+        .dropDuplicates(["node"]),
+        "sets",
+    )
+
+    # All members of a bucket meet its leader.
+    pairs = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    survivors = pairs.join(signs.toDF("a", "x"), "a").join(signs.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_prune(floors), "a long, b long")
+    both = F.size(F.array_intersect("x", "y"))
+    links = staged(
+        survivors.join(sets.toDF("a", "x"), "a")
+        .join(sets.toDF("b", "y"), "b")
+        .filter(both * 100 >= (F.size("x") + F.size("y") - both) * percent)
+        .select("a", "b"),
+        "links",
+    )
+
+    # In buckets that still hold several components, members outside the largest meet all others, in blocks.
+    rooted = staged(_rooted(members.select("band", "slot", "node"), components(links)), "rooted")
+    by_root = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
+    mixed = (
+        by_root.groupBy("band")
+        .agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
+        .filter("roots > 1")
+        .withColumn("nq", F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil((F.col("n") - F.col("top.n")) / (BLOCK // 2))))
+        .withColumn("nm", F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil(F.col("n") / BLOCK)))
+        .select("band", F.col("top.root").alias("top"), "nq", "nm")
+    )
+    open_ = rooted.join(mixed, "band").withColumn("outside", F.col("root") != F.col("top"))
+    single = F.col("nq") * F.col("nm") == 1
+    numbers = lambda count: F.sequence(F.lit(0).cast("long"), count - F.lit(1).cast("long"))
+    cell = lambda q, m, query, member: F.struct(q.cast("long").alias("q"), m.cast("long").alias("m"), query.alias("query"), member.alias("member"))
+    own_q, own_m = F.pmod(F.xxhash64("node"), F.col("nq")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("nm"))
+    as_query = F.when(F.col("outside"), F.transform(numbers(F.col("nm")), lambda m: cell(own_q, m, F.lit(True), F.lit(False)))).otherwise(F.array())
+    as_member = F.transform(numbers(F.col("nq")), lambda q: cell(q, own_m, F.lit(False), F.lit(True)))
+    cells = F.when(single, F.array(cell(F.lit(0), F.lit(0), F.col("outside"), F.lit(True)))).otherwise(F.concat(as_query, as_member))
+    blocks = staged(open_.select("band", "slot", "node", "root", F.explode(cells).alias("cell")).select("band", "slot", "node", "root", "cell.*"), "blocks")
+    shards = max(1, -(-blocks.count() // SHARD_ROWS))
+    more = (
+        blocks.join(signs, "node")
+        .join(sets, "node")
+        .withColumn("shard", F.pmod(F.xxhash64("band", "q", "m"), F.lit(shards)))
+        .groupBy("shard")
+        .applyInArrow(_compare(floors, percent), "a long, b long")
+    )
+    roots = components(links.union(staged(more, "more")))
+
+    owner = _rooted(nodes.select("node", "key", "first_id"), roots)
+    named = owner.join(owner.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("key", "component_id")
+    out = signed.select("doc_id", "n_shingles", "key").join(named, "key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

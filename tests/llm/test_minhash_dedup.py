@@ -31,6 +31,23 @@ def test_against_brute_force(spark):
         assert got == {i: (a, b, i == b) for i, (a, b) in want.items()}
 
 
+def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 8)
+    monkeypatch.setattr(M, "SHARD_ROWS", 16)
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(r.randint(0, 7)):
+            w[r.randrange(len(w))] = f"x{r.random()}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(df, n=4).collect()}
+    want = M.brute_force(list(enumerate(texts)), 4)
+    assert got == want and 3 < len({c for _, c in want.values()}) < 140
+
+
 def test_edges(spark):
     t = "a b c d e f g h"
     df = spark.createDataFrame([(None, t), (5, t), (5, t), (9, None)], "doc_id long, text string")
