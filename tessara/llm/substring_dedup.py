@@ -162,22 +162,30 @@ def _locate(window: int):
         for c in ("a", "b"):
             known[c] = confirmed[c].to_numpy()
         texts = segments["segment"].combine_chunks()
-        symbols: dict[bytes, str] = {}
-        streams: list[str] = []
-        passages: set[str] = set()
+        known = np.sort(known)
+        hashes, counts, marks = [], [], []
         for rows in K.slices(texts):
             words = K.find_words(rows)
             wh = K.span_hashes(rows.data, words.starts, words.ends)
-            good = np.isin(_window_hashes(wh, window), known) & K.gram_valid(words, window)
-            blob = rows.data.tobytes()
-            for i in range(len(rows)):
-                lo, hi = int(words.first[i]), int(words.first[i + 1])
-                own = [blob[a:b] for a, b in zip(words.starts[lo:hi].tolist(), words.ends[lo:hi].tolist(), strict=True)]
-                stream = "".join([symbols.setdefault(w, chr(0x10000 + len(symbols))) for w in own])
-                streams.append(stream)
-                marks = np.flatnonzero(np.diff(np.r_[0, good[lo : max(lo, hi - window + 1)].astype(np.int8), 0]))
-                for b, e in zip(marks[::2].tolist(), marks[1::2].tolist(), strict=True):
-                    passages.add(stream[b : e - 1 + window])
+            both = _window_hashes(wh, window)
+            at = np.minimum(np.searchsorted(known["a"], both["a"]), len(known) - 1)
+            while True:  # equal first halves are rare: step to the next of them where the second half differs
+                step = (known["a"][at] == both["a"]) & (known["b"][at] < both["b"]) & (at + 1 < len(known))
+                if not step.any():
+                    break
+                at = at + step
+            good = np.zeros(len(wh), bool)
+            good[: len(both)] = (known[at] == both) & K.gram_valid(words, window)
+            hashes.append(wh)
+            counts.append(words.counts)
+            marks.append(good)
+        flat, good = np.concatenate(hashes), np.concatenate(marks)
+        first = np.r_[0, np.cumsum(np.concatenate(counts))]
+        _, symbol = np.unique(flat, return_inverse=True)  # a shard has far fewer words than there are code points
+        stream_of_all = (symbol + 0x10000).astype("<u4").tobytes().decode("utf-32-le")
+        streams = [stream_of_all[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        edges = np.diff(np.r_[0, good.astype(np.int8), 0])  # the last windows of a row are never good, so runs end in their row
+        passages = {stream_of_all[b : e - 1 + window] for b, e in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True)}
         if not passages:
             return empty
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
