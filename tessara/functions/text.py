@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ TOKEN = r"[a-z0-9]+(?:[-_'][a-z0-9]+)*"
 STOPWORDS = "a an and are as at be but by for from has have in is it its of on or that the to was were with".split()
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once per row; inside another lambda an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def tokenize(text: Column, remove_stopwords: bool = False) -> Column:
     """Lower-case ASCII tokens, in order, repeats included; null text has none."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
@@ -29,7 +36,7 @@ def sentences(text: Column) -> Column:
 
 def answer_words(text: Column) -> Column:
     """Words of an answer without case, articles and punctuation."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), r"\b(?:a|an|the)\b", " "), r"[^a-z0-9\s]", " ")
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)\b(?:a|an|the)\b", " "), r"[^a-z0-9\s]", " ")
     return F.filter(F.split(F.regexp_replace(plain, r"\s+", " "), " "), lambda w: w != "")
 
 
@@ -41,5 +48,10 @@ def citations(text: Column) -> Column:
 def char_ngrams(text: Column, n: int) -> Column:
     """All runs of n characters of the lower-case text with white space collapsed."""
     clean = F.regexp_replace(F.lower(text), r"\s+", " ")
-    last = F.length(clean) - n + 1
-    return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(clean, i, F.lit(n))))
+
+    def grams(c: Column) -> Column:
+        last = F.size(c) - n
+        every = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.concat(*[F.get(c, i + k) for k in range(n)]))
+        return F.when(last < 0, F.array().cast("array<string>")).otherwise(every)
+
+    return let(F.regexp_extract_all(clean, F.lit("(?s)."), F.lit(0)), grams)

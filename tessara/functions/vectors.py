@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 _ZERO = 0.0
 
 
@@ -18,8 +20,7 @@ def norm(a: Column) -> Column:
 
 def normalize(a: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    length = F.when(norm(a) == 0, 1.0).otherwise(norm(a))
-    return F.transform(a, lambda x: x.cast("double") / length)
+    return let(norm(a), lambda n: F.transform(a, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n)))
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -28,5 +29,4 @@ def l2(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """0 if either is a zero vector."""
-    length = norm(a) * norm(b)
-    return F.when(length == 0, 0.0).otherwise(dot(a, b) / length)
+    return let(norm(a) * norm(b), lambda n: F.when(n == 0, 0.0).otherwise(dot(a, b) / n))

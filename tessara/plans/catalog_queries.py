@@ -1,34 +1,8 @@
-"""Registered queries of the engine's own operators, with their DuckDB SQL."""
+"""All registered queries of the engine's own operators, with the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from . import catalog_log, catalog_retrieval, catalog_sql
+from .registry import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a (spark, sf_dir) callable under its name, and its oracle."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def load(spark, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, avg(l_discount) AS avg_disc, count(*) AS n
-FROM lineitem GROUP BY l_returnflag, l_linestatus""")
-def agg_group_flags(spark, d):
-    return (
-        load(spark, d, "lineitem")
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.sum("l_quantity").alias("sum_qty"), F.avg("l_discount").alias("avg_disc"), F.count("*").alias("n"))
-    )
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog_log", "catalog_retrieval", "catalog_sql"]

@@ -103,7 +103,7 @@ def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """query_id, rank, vec_id, score: exact neighbours, larger scores nearer, ties by id.
+    """query_id, rank, vec_id, score: exact neighbours, larger scores nearer, to nine decimals; ties by id.
 
     The stated query set (query_id, embedding) goes out in blocks of bounded
     size; each partition of vectors keeps its best k for each query, so what is
@@ -129,7 +129,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosin
                 x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype(float)
                 if x.shape[1] != q.shape[1]:
                     raise ValueError(f"vectors have {x.shape[1]} dimensions, queries {q.shape[1]}")
-                s, v = _scores(q, x, metric), np.broadcast_to(batch.column(0).to_numpy(zero_copy_only=False), (len(ids), batch.num_rows))
+                s, v = np.round(_scores(q, x, metric), 9), np.broadcast_to(batch.column(0).to_numpy(zero_copy_only=False), (len(ids), batch.num_rows))
                 if best:
                     s, v = np.hstack([best[0], s]), np.hstack([best[1], v])
                 order = np.stack([np.lexsort((v[i], -s[i]))[:k] for i in range(len(ids))])
@@ -168,7 +168,7 @@ def nearest_lsh(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 16
         return df.select(id_column, "embedding").mapInArrow(run, f"{id_column} {kind}, code long")
 
     pairs = keyed(queries, "query_id").join(keyed(vectors, "vec_id"), "code").select("query_id", "vec_id").distinct()
-    scored = pairs.join(queries.select("query_id", F.col("embedding").alias("q")), "query_id").join(vectors.select("vec_id", "embedding"), "vec_id").select("query_id", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("score"))
+    scored = pairs.join(queries.select("query_id", F.col("embedding").alias("q")), "query_id").join(vectors.select("vec_id", "embedding"), "vec_id").select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 9).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

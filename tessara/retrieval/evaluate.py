@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import answer_words
+from ..functions.text import answer_words, let
 
 CUTOFFS = (1, 3, 5, 10, 20)
 
@@ -65,10 +65,14 @@ def percentiles(values: DataFrame, column: str, points: tuple[int, ...] = (50, 9
 
 def token_f1(prediction: Column, truth: Column) -> Column:
     """Multiset overlap of answer words: harmonic mean of precision and recall; 1 if both are empty."""
-    p, t = answer_words(prediction), answer_words(truth)
     count = lambda a, w: F.size(F.filter(a, lambda x: x == w))
-    same = F.aggregate(F.array_distinct(p), F.lit(0), lambda s, w: s + F.least(count(p, w), count(t, w)))
-    return F.when((F.size(p) == 0) | (F.size(t) == 0), (F.size(p) == F.size(t)).cast("double")).when(same == 0, 0.0).otherwise(2.0 * same / (F.size(p) + F.size(t)))
+
+    def judged(p: Column, t: Column) -> Column:
+        same = F.aggregate(F.array_distinct(p), F.lit(0), lambda s, w: s + F.least(count(p, w), count(t, w)))
+        some = let(same, lambda n: F.when(n == 0, 0.0).otherwise(2.0 * n / (F.size(p) + F.size(t))))
+        return F.when((F.size(p) == 0) | (F.size(t) == 0), (F.size(p) == F.size(t)).cast("double")).otherwise(some)
+
+    return let(answer_words(prediction), lambda p: let(answer_words(truth), lambda t: judged(p, t)))
 
 
 def exact_match(prediction: Column, truth: Column) -> Column:
@@ -78,11 +82,13 @@ def exact_match(prediction: Column, truth: Column) -> Column:
 def groundedness(answer: Column, context: Column, span: int = 24) -> Column:
     """The fraction of the answer's sentences of which some run of `span` characters stands in the context."""
     parts = F.filter(F.transform(F.split(answer, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
-    low = F.lower(context)
 
-    def found(s: Column) -> Column:
-        t = F.regexp_replace(F.lower(s), r"\s+", " ")
-        starts = F.sequence(F.lit(1), F.greatest(F.length(t) - span + 1, F.lit(1)), F.lit(max(1, span // 2)))
-        return F.when(F.length(t) < span, F.contains(low, t)).otherwise(F.exists(starts, lambda i: F.contains(low, F.substring(t, i, F.lit(span)))))
+    def found(sentence: Column, low: Column) -> Column:
+        def inside(t: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.length(t) - span + 1, F.lit(1)), F.lit(max(1, span // 2)))
+            return F.when(F.length(t) < span, F.contains(low, t)).otherwise(F.exists(starts, lambda i: F.contains(low, F.substring(t, i, F.lit(span)))))
+
+        return let(F.regexp_replace(F.lower(sentence), r"\s+", " "), inside)
 
-    return F.when(F.size(parts) == 0, 0.0).otherwise(F.size(F.filter(parts, found)) / F.size(parts))
+    share = let(F.lower(context), lambda low: let(parts, lambda p: F.size(F.filter(p, lambda s: found(s, low))) / F.greatest(F.size(p), F.lit(1))))
+    return F.when(F.size(parts) == 0, 0.0).otherwise(share)

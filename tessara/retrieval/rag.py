@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import citations, sentences, tokenize
+from ..functions.text import citations, let, sentences, tokenize
 
 REFUSAL = "I don't have enough information in the provided context to answer that."
 BUDGET = 6000
@@ -32,19 +32,23 @@ def prompts(questions: DataFrame, ranked: DataFrame, budget: int = BUDGET) -> Da
 
 def extract(question: Column, texts: Column, most: int = 3) -> Column:
     """The `most` sentences with the largest overlap / sqrt(terms), in their order; a refusal where none overlaps."""
-    q = F.array_distinct(tokenize(question, remove_stopwords=True))
     every = F.flatten(F.transform(texts, sentences))
 
-    def judged(s: Column, i: Column) -> Column:
-        t = F.array_distinct(tokenize(s, remove_stopwords=True))
-        score = F.when(F.size(t) == 0, -1.0).otherwise(F.size(F.array_intersect(q, t)) / F.sqrt(F.greatest(F.size(t), F.lit(1))))
-        return F.struct((-score).alias("order"), i.alias("i"), s.alias("s"))
+    def judged(q: Column, s: Column, i: Column) -> Column:
+        def scored(t: Column) -> Column:
+            score = F.when(F.size(t) == 0, -1.0).otherwise(F.size(F.array_intersect(q, t)) / F.sqrt(F.greatest(F.size(t), F.lit(1))))
+            return F.struct((-score).alias("order"), i.alias("i"), s.alias("s"))
 
-    scored = F.filter(F.array_sort(F.transform(every, judged)), lambda x: x.order <= 0)
-    top = F.slice(scored, 1, most)
-    in_order = F.array_sort(F.transform(top, lambda x: F.struct(x.i.alias("i"), x.s.alias("s"))))
-    best = F.get(scored, F.lit(0)).order
-    return F.when(best.isNull() | (best == 0), REFUSAL).otherwise(F.array_join(F.transform(in_order, lambda x: x.s), " "))
+        return let(F.array_distinct(tokenize(s, remove_stopwords=True)), scored)
+
+    def chosen(scored: Column) -> Column:
+        in_order = F.array_sort(F.transform(F.slice(scored, 1, most), lambda x: F.struct(x.i.alias("i"), x.s.alias("s"))))
+        best = F.get(scored, F.lit(0)).order
+        return F.when(best.isNull() | (best == 0), REFUSAL).otherwise(F.array_join(F.transform(in_order, lambda x: x.s), " "))
+
+    terms = F.array_distinct(tokenize(question, remove_stopwords=True))
+    ranked = let(terms, lambda q: F.filter(F.array_sort(F.transform(every, lambda s, i: judged(q, s, i))), lambda x: x.order <= 0))
+    return let(ranked, chosen)
 
 
 def answers(questions: DataFrame, ranked: DataFrame, most: int = 3, budget: int = BUDGET) -> DataFrame:

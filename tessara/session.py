@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +23,12 @@ def session(name: str = "tessara", master: str | None = None, **conf: str) -> Sp
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = f"file://{os.path.join(tempfile.gettempdir(), f'tessara-{os.getuid()}')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")

@@ -10,19 +10,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.relational import quorum
+from ..operators.scans import running_max
+
 RESULT = "idx long, key string, client_id long, request_id long, applied boolean, previous string, existed boolean"
 
 
 def with_replays(commands: DataFrame) -> DataFrame:
     """Adds replayed: a client's request id at or below its greatest so far; client 0 is exempt.
 
-    This depends on ids alone, not on any key's state, so it is one window per client.
+    This depends on ids alone, not on any key's state, so it is one running maximum per client.
     """
-    earlier = Window.partitionBy("client_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.max("request_id").over(earlier)
     named = F.coalesce(F.col("client_id"), F.lit(0)) != 0
-    # Anonymous commands need no window; they stay out of its shuffle, where they would be one hot key.
-    mine = commands.filter(named).withColumn("replayed", F.coalesce(F.col("request_id") <= seen, F.lit(False)))
+    # Anonymous commands need no scan; they stay out of its shuffle, where they would be one hot key.
+    mine = running_max(commands.filter(named), ["client_id"], "idx", F.col("request_id"), "__seen")
+    mine = mine.withColumn("replayed", F.coalesce(F.col("request_id") <= F.col("__seen"), F.lit(False))).drop("__seen")
     return mine.unionByName(commands.filter(~named).withColumn("replayed", F.lit(False)))
 
 
@@ -85,31 +87,32 @@ def all_results(commands: DataFrame) -> DataFrame:
     """Results of all commands; a replay gets the result of its client's latest request before it."""
     marked = with_replays(commands.filter("op is not null"))
     own = results(commands).select("idx", "applied", "previous", "existed")
-    latest = F.last(F.when(~F.col("replayed"), F.col("idx")), ignorenulls=True).over(Window.partitionBy("client_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    replays = marked.filter("coalesce(client_id, 0) <> 0").withColumn("source", latest).filter("replayed").select(F.col("idx").alias("at"), "source")
+    named = marked.filter("coalesce(client_id, 0) <> 0")
+    replays = running_max(named, ["client_id"], "idx", F.when(~F.col("replayed"), F.col("idx")), "source").filter("replayed").select(F.col("idx").alias("at"), "source")
     fresh = marked.filter("not replayed").select(F.col("idx").alias("at"), F.col("idx").alias("source"))
     every = fresh.withColumn("replayed", F.lit(False)).unionByName(replays.withColumn("replayed", F.lit(True)))
     return every.join(own, F.col("source") == F.col("idx")).select(F.col("at").alias("idx"), "replayed", "applied", "previous", "existed")
 
 
 def members_after(changes: DataFrame, initial: list[int]) -> DataFrame:
-    """node of the voters after changes(idx, op add|remove, node); adding twice is one, the last voter stays.
+    """[grp,] node: the voters after changes([grp,] idx, op add|remove, node); adding twice is one, the last voter stays.
 
-    A change of membership is a rare, serial event; they are folded in order on the driver.
+    Membership changes of a group are few and serial; each group is folded in one expression, groups run in parallel.
     """
-    voters = set(initial)
-    for r in changes.orderBy("idx").toLocalIterator():
-        if r.op == "add":
-            voters.add(r.node)
-        elif voters != {r.node}:
-            voters.discard(r.node)
-    return changes.sparkSession.createDataFrame([(v,) for v in sorted(voters)], "node long")
+    by = [c for c in ("grp",) if c in changes.columns]
+    start = F.array(*[F.lit(n).cast("long") for n in initial]).cast("array<bigint>")
+    steps = changes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("idx", "op", F.col("node").cast("long").alias("node")))).alias("steps"))
+
+    def apply(voters, c):
+        without = F.array_remove(voters, c.node)
+        return F.when(c.op == "add", F.array_union(voters, F.array(c.node))).when(F.size(without) > 0, without).otherwise(voters)
+
+    return steps.select(*by, F.explode(F.aggregate("steps", start, apply)).alias("node"))
 
 
 def quorum_commit(progress: DataFrame, log: DataFrame, term: int) -> DataFrame:
     """grp, commit: the greatest index on a majority of progress(grp, node, match), if log(grp, idx, term) has it in this term."""
-    held = progress.groupBy("grp").agg(F.sort_array(F.collect_list("match"), asc=False).alias("m"))
-    at = held.select("grp", F.get("m", F.floor(F.size("m") / 2).cast("int")).alias("idx"))
+    at = progress.groupBy("grp").agg(quorum(F.collect_list("match")).alias("idx"))
     return at.join(log.filter(F.col("term") == term), ["grp", "idx"]).select("grp", F.col("idx").alias("commit"))
 
 
@@ -121,8 +124,8 @@ def effective_log(arrivals: DataFrame) -> DataFrame:
     """
     changes = arrivals.withColumn("before", F.lag("term").over(Window.partitionBy("idx").orderBy("arrival"))).filter("before is null or before <> term")
     newest = changes.groupBy("idx").agg(F.max_by(F.struct("arrival", "term", "data"), "arrival").alias("e"))
-    below = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    return newest.withColumn("cut", F.max("e.arrival").over(below)).filter("cut is null or cut < e.arrival").select("idx", "e.term", "e.data")
+    below = running_max(newest.select("idx", "e.*"), [], "idx", F.col("arrival"), "cut")
+    return below.filter("cut is null or cut < arrival").select("idx", "term", "data")
 
 
 def next_applicable(log: DataFrame, applied: int, commit: int, most: int = 256) -> DataFrame:
@@ -130,6 +133,38 @@ def next_applicable(log: DataFrame, applied: int, commit: int, most: int = 256)
     return log.filter((F.col("idx") > applied) & (F.col("idx") <= min(commit, applied + most)))
 
 
+def log_slice(log: DataFrame, first: int, most: int = 64) -> DataFrame:
+    """At most `most` entries from index `first` on, as one append carries."""
+    return log.filter((F.col("idx") >= first) & (F.col("idx") < first + most))
+
+
+def find_conflict(log: DataFrame, idx: int) -> DataFrame:
+    """term, first: the term of the entry at idx, and the first index of the run of that term which holds idx."""
+    here = log.filter(F.col("idx") == idx).select(F.col("term").alias("__term"))
+    before = log.filter(F.col("idx") <= idx).join(F.broadcast(here), F.lit(True))  # one row
+    cut = F.coalesce(F.max(F.when(F.col("term") != F.col("__term"), F.col("idx"))), F.lit(-1).cast("long"))
+    last_other = before.agg(cut.alias("__cut"))
+    run = before.join(F.broadcast(last_other), F.col("idx") > F.col("__cut"))
+    return run.groupBy("__term").agg(F.min("idx").alias("first")).withColumnRenamed("__term", "term")
+
+
+def bounds(log: DataFrame) -> DataFrame:
+    """first, last, n of a log's indices; nulls and 0 for an empty one."""
+    return log.agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("n"))
+
+
+def get(state: DataFrame, key: str) -> str:
+    """The value of a key; an absent one is a KeyError."""
+    found = state.filter(F.col("key") == key).first()
+    if found is None:
+        raise KeyError(key)
+    return found.value
+
+
+def keys(state: DataFrame) -> DataFrame:
+    return state.select("key").orderBy("key")
+
+
 def compact(log: DataFrame, snapshot_idx: int) -> DataFrame:
     return log.filter(F.col("idx") > snapshot_idx)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import shared_dir
 from .log import fold_key
 
 COMMAND = "idx long, op string, key string, value string, expect string, expect_absent boolean, client_id long, request_id long"
@@ -67,3 +69,22 @@ def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> Da
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination(600)
     return stream.sparkSession.table(name)
+
+
+def run_to_files(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
+    """Process all that is available; each micro-batch is written to the shared folder, and the last row of every key returned.
+
+    A batch that runs again after a failure overwrites its own folder, so results are exactly once.
+    """
+    spark, at = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/{number}")
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    written = spark.read.schema(stream.schema.add("batch", "integer")).option("recursiveFileLookup", "true").parquet(f"{at}/out")
+    if not keys:
+        return written.drop("batch")
+    rest = [c for c in stream.columns if c not in keys]
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
