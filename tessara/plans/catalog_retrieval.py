@@ -105,7 +105,7 @@ def bm25_idf(spark, d):
 
 @query(_BM25 + "SELECT term, chunk_id, tf FROM tf")
 def bm25_postings(spark, d):
-    return Bm25.fit(_chunks(spark, d)).postings
+    return Bm25.fit(_chunks(spark, d)).postings.select("term", "chunk_id", "tf")
 
 
 @query(_BM25 + """SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM

@@ -242,12 +242,11 @@ class Planner:
                 kind = kind_of(f.dataType)
             except PlanError:
                 continue  # arrays and the like are out of the dialect's reach
-            column = df[f"`{f.name}`"]
-            name = f"t{number}_{i}"
+            name, column = f"t{number}_{i}", "`" + f.name.replace("`", "``") + "`"
             fields.append(Field(ref.alias or ref.name, f.name, kind, name))
-            plain = f.dataType.simpleString() == S.TYPES.get(kind)
-            columns.append((column if plain or kind == "null" else column.cast(S.TYPES[kind])).alias(name))
-        return df.select(*columns), fields
+            plain = kind == "null" or f.dataType.simpleString() == S.TYPES[kind]
+            columns.append(f"{column} AS {name}" if plain else f"CAST({column} AS {S.TYPES[kind]}) AS {name}")
+        return df.selectExpr(*columns), fields  # one call to the JVM, however many columns there are
 
     def source(self, tables: list[TableRef]) -> tuple[DataFrame, list[Field]]:
         if not tables:

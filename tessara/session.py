@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "tessara", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,3 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
         found = f"file://{os.path.join(tempfile.gettempdir(), f'tessara-{os.getuid()}')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: computed once, short in lineage, safe from lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
