@@ -4,7 +4,9 @@ Chat logs often save a conversation anew after every turn.  Each turn gets a
 hash of the whole prefix up to it (an exclusive-or of position-salted turn
 hashes, twice 64 bits, rolled along the conversation); a conversation whose
 full hash is a proper prefix of another one goes in an anti-join, and the
-maximal conversations that remain are rendered.
+maximal conversations that remain are rendered.  Hashes are made distinct
+before they meet prefixes, so a conversation logged very often is one row there;
+in the anti-join itself, nothing is aggregated and its copies may be split.
 
 Defined cases: a null role or text counts as empty; turns are ordered by turn
 (null first), then role and text, so ties and repeated rows have one order;
@@ -39,7 +41,9 @@ def maximal(turns: DataFrame) -> DataFrame:
     last = F.element_at("turns", -1)
     whole = logged.withColumns({"n": F.size("turns"), "a": last.a, "b": last.b})
     prefixes = logged.filter(F.size("turns") > 1).select(F.explode(F.transform(F.slice("turns", F.lit(1), F.size("turns") - 1), lambda t: F.struct(t.pos.alias("n"), t.a.alias("a"), t.b.alias("b")))).alias("p")).select("p.*").distinct()
-    return whole.join(prefixes, ["n", "a", "b"], "left_anti").select("conv_id", "turns")
+    key = ["n", "a", "b"]
+    absorbed = staged(whole.select(*key).distinct().join(prefixes, key, "left_semi"), "absorbed")
+    return whole.join(absorbed, key, "left_anti").select("conv_id", "turns")
 
 
 def render(turns: Column) -> Column:
