@@ -40,3 +40,19 @@ def text_key(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def least_hashed(rows: DataFrame, key: str, most: int, *ties: str) -> DataFrame:
+    """The `most` rows of the smallest hashes of key (ties by key, then `ties`): a bounded sample that no partitioning changes.
+
+    Rows above a hash bound that surely are not among them go first, so that
+    about twice `most` rows meet in one task, however many there are.
+    """
+    h, n = F.xxhash64(key), rows.count()
+    share, some = 2 * most / max(n, 1), rows
+    while share < 1:
+        some = rows.filter(h < F.lit(int(-(2**63) + share * 2**64)))
+        if some.count() >= most:
+            break
+        share, some = 2 * share, rows  # one key on many rows
+    return some.withColumn("__h", h).orderBy("__h", key, *ties).limit(most).drop("__h")

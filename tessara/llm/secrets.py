@@ -20,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import least_hashed, table
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A longer floor inside these two gives the same matches as dropping short ones afterwards:
@@ -79,7 +79,7 @@ def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFra
     and digests written in base 64 and hexadecimal.  Identifiers: the other
     words of those documents, and a short list of programming identifiers.
     """
-    ids = docs.select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(sample_docs).select("doc_id").distinct()
+    ids = least_hashed(docs.select("doc_id"), "doc_id", sample_docs).distinct()
     text = docs.join(F.broadcast(ids), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))
     base = base_spans(F.col("text"))
     value = lambda s: F.when(s.kind == 0, F.regexp_extract(s.found, ASSIGN, 1)).otherwise(s.found)
