@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
 from . import fusion
 from .chunking import chunk_documents
 from .dense import HashingEmbedder, nearest
@@ -46,6 +47,7 @@ class Index:
 
 def build_index(docs: DataFrame, size: int = 400, overlap: int = 60, strategy: str = "recursive", dim: int = 384) -> Index:
     """Chunk docs(doc_id, text) and index the chunks for all retrievers."""
-    chunks = chunk_documents(docs, strategy, size, overlap)
+    chunks = staged(chunk_documents(docs, strategy, size, overlap), "chunks")
     embedder = HashingEmbedder(dim).fit_idf(chunks)
-    return Index(chunks, Bm25.fit(chunks), embedder, embedder.embed(chunks, "chunk_id"))
+    embedder.idf = staged(embedder.idf, "idf")
+    return Index(chunks, Bm25.fit(chunks), embedder, staged(embedder.embed(chunks, "chunk_id"), "vectors"))

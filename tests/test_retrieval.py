@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessara.functions import text as T
-from tessara.retrieval import chunking, dense, evaluate, fusion, rag
+from tessara.retrieval import chunking, cli, dense, evaluate, fusion, harness, rag
 from tessara.retrieval.lexical import Bm25
 from tessara.retrieval.retrievers import build_index
 from tessara.sources import jsonl
@@ -199,3 +199,18 @@ def test_hybrid_and_jsonl(spark, docs, tmp_path):
     assert {(r.doc_id, r.gain) for r in labels.collect()} == {("d1", 1.0), ("d4", 2.0)}
     with pytest.raises(Exception, match="no document"):
         jsonl.read_queries(spark, f"{tmp_path}/q", read.filter("doc_id = 'd1'"))
+
+
+def test_sweep_and_command_line(spark, docs, tmp_path):
+    rows = [("q1", "quantum qubits", ["d3"], None), ("q2", "lazy dog", ["d1", "d2"], {"d2": 3.0}), ("q3", "unlabelled", [], None)]
+    queries = spark.createDataFrame(rows, "query_id string, query string, relevant_doc_ids array<string>, gains map<string,double>")
+    jsonl.write_jsonl(docs.filter("text <> ''"), f"{tmp_path}/d")
+    jsonl.write_jsonl(queries, f"{tmp_path}/q")
+    outcomes = harness.sweep(docs, queries, jsonl.labels_of(queries), 2, 32, chunkings=((60, 10),), weights=((1.0, 1.0),))
+    assert {(r.config, r.queries) for r in harness.summary(outcomes).collect()} == {(c, 2) for c in ("dense(chunk=60)", "bm25(chunk=60)", "hybrid(chunk=60,d=1,l=1)")}
+    options = ["--corpus", f"{tmp_path}/d", "--dim", "32"]
+    assert "recall@2" in cli.run(spark, ["eval", *options, "--queries", f"{tmp_path}/q", "-k", "2", "--retriever", "lexical"])
+    assert "d3::0" in cli.run(spark, ["search", *options, "qubits"])
+    assert "[1] " in cli.run(spark, ["ask", *options, "--show-prompt", "What do qubits do in quantum computing?"])
+    with pytest.raises(ValueError):
+        harness.retriever(None, "nope")
