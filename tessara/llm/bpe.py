@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import table
+from .common import small_batches, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct words that a worker remembers; beyond it starts over.
@@ -226,19 +226,19 @@ def _decode(ranks: bytes, pattern: str):
 def encode(docs: DataFrame, carry: list[str] = ["doc_id"], path: str | None = None, pattern: str | None = None) -> DataFrame:  # noqa: B006
     """The columns in carry, n_tokens and ids of every document."""
     schema = docs.select(*carry).schema.add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType()))
-    return docs.select(F.col("text").alias("__text"), *carry).mapInArrow(_encode(*_vocabulary(path, pattern), False), schema)
+    return small_batches(docs).select(F.col("text").alias("__text"), *carry).mapInArrow(_encode(*_vocabulary(path, pattern), False), schema)
 
 
 def decode(encoded: DataFrame, carry: list[str] = ["doc_id"], path: str | None = None, pattern: str | None = None) -> DataFrame:  # noqa: B006
     """The columns in carry and decoded: the bytes of ids."""
     schema = encoded.select(*carry).schema.add("decoded", "binary")
-    return encoded.select(F.col("ids").alias("__ids"), *carry).mapInArrow(_decode(*_vocabulary(path, pattern)), schema)
+    return small_batches(encoded).select(F.col("ids").alias("__ids"), *carry).mapInArrow(_decode(*_vocabulary(path, pattern)), schema)
 
 
 def round_trip(docs: DataFrame, carry: list[str] = ["doc_id"], path: str | None = None, pattern: str | None = None) -> DataFrame:  # noqa: B006
     """The columns in carry, n_tokens, ids_sha256 and decoded_sha256 of every document."""
     schema = docs.select(*carry).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return docs.select(F.col("text").alias("__text"), *carry).mapInArrow(_encode(*_vocabulary(path, pattern), True), schema)
+    return small_batches(docs).select(F.col("text").alias("__text"), *carry).mapInArrow(_encode(*_vocabulary(path, pattern), True), schema)
 
 
 def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of the Arrow batches that go to Python workers (a longer row goes alone): texts vary too much for a count of rows to bound memory.
+BATCH_BYTES = 4 << 20
 #: What counts as white space between words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,6 +40,13 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("text_key")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after its session's Arrow batches were bounded in bytes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

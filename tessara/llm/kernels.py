@@ -16,7 +16,7 @@ import pyarrow as pa
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Bytes of text handled at once; a longer row is handled alone, whole.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _U = np.uint64
 _BYTE_BASE = 0x9E3779B97F4A7C15 | 1

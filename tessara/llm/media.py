@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import table
+from .common import small_batches, table
 
 UNIT, WIDTH, TILE = 576, 24, 24
 
@@ -160,7 +160,7 @@ def media_columns(images: DataFrame, column: str = "image") -> DataFrame:
                 kinds = [pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, k) for c, k in zip(new, kinds, strict=True))], schema.names)
 
-    return images.mapInArrow(run, schema)
+    return small_batches(images).mapInArrow(run, schema)
 
 
 def as_image(payload: bytes) -> bytes:
@@ -188,6 +188,6 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op9_media_columns(spark, sf_dir: str) -> DataFrame:
     """One row per document: its bytes stored as an image, decoded, tiled and read back from the tiles."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = small_batches(table(spark, sf_dir, "documents")).select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
     return docs.mapInArrow(_digest, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tiles_sha256 string")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import staged, table
+from .common import small_batches, staged, table
 
 BANDS, BAND_ROWS = 32, 4
 BATCH = 32
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float
     """
     kind = dict(docs.dtypes)["doc_id"]
     floors = posterior_floors(percent / 100, miss)
-    signed = staged(docs.select("doc_id", "text").mapInArrow(_sign(n), f"doc_id {kind}, n_shingles long, key binary, sign binary"), "signed")
+    signed = staged(small_batches(docs).select("doc_id", "text").mapInArrow(_sign(n), f"doc_id {kind}, n_shingles long, key binary, sign binary"), "signed")
     # Numbers given once, in a written table, stay what they are.
     nodes = staged(
         signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("sign").alias("sign")).withColumn("node", F.monotonically_increasing_id()),

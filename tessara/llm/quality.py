@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import least_hashed, table
+from .common import least_hashed, small_batches, table
 
 #: At most this many labelled documents are used for training: those with the smallest hashes.
 TRAIN_DOCS = 12000
@@ -198,7 +198,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def labelled_features(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray]:
     """Features and quality of at most `most` labelled documents; that many rows reach the driver."""
     known = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").alias("label"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(least_hashed(known, "doc_id", most, "label")), "doc_id").select(F.col("label").cast("int"), "text").mapInArrow(_features, "label int, x array<double>").limit(4 * most).toArrow()
+    rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(least_hashed(known, "doc_id", most, "label")), "doc_id").select(F.col("label").cast("int"), "text").mapInArrow(_features, "label int, x array<double>").limit(4 * most).toArrow()
     x = rows["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)) if rows.num_rows else np.empty((0, len(FEATURES)))
     y = rows["label"].to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # one order, however rows arrive
@@ -233,7 +233,7 @@ def judge(docs: DataFrame, forest: Forest | None, keep_from: float = KEEP_FROM,
     for c in BASE:
         schema = schema.add(c, "long")
     schema = schema.add("base_failed", "boolean").add("p_good", "double").add("kept", "boolean")
-    return docs.select(F.col("text").alias("__text"), *carry).mapInArrow(_judge(forest, keep_from), schema)
+    return small_batches(docs).select(F.col("text").alias("__text"), *carry).mapInArrow(_judge(forest, keep_from), schema)
 
 
 def op7_quality_trees(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import staged, table, text_key
+from .common import small_batches, staged, table, text_key
 
 WINDOW = 35
 #: Segments that one automaton shard should hold; a more frequent anchor is split.
@@ -236,7 +236,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def recurring_spans(docs: DataFrame, window: int = WINDOW, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """text_key, spans: for each distinct text with recurring windows, flat lists of word starts and ends to cut."""
-    keyed = docs.select("text", text_key(F.col("text")))
+    keyed = small_batches(docs).select("text", text_key(F.col("text")))
     pairs = keyed.mapInArrow(_census(window), "text_key binary, anchor long, n long")
     recurring = (
         pairs.groupBy("anchor")

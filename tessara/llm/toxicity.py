@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import least_hashed, table
+from .common import least_hashed, small_batches, table
 
 #: At most this many labelled documents are used for training: those with the smallest hashes.
 TRAIN_DOCS = 12000
@@ -174,7 +174,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, identity: list[list[str]] | None = None, strength: float = STRENGTH) -> Model | None:
     """A model from at most `most` held-in labelled documents, of which only features of some frequency and difference reach the driver."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("label"))
-    sample = docs.select("doc_id", "text").join(F.broadcast(least_hashed(known, "doc_id", most, "label")), "doc_id").select("label", "text")
+    sample = small_batches(docs).select("doc_id", "text").join(F.broadcast(least_hashed(known, "doc_id", most, "label")), "doc_id").select("label", "text")
     total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("pos")).first()
     if not 0 < total.pos < total.n:
         return None
@@ -213,7 +213,7 @@ def _score(model: Model | None):
 def score(docs: DataFrame, model: Model | None, carry: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
     """The columns in carry, score and predicted of every document."""
     schema = docs.select(*carry).schema.add("score", "double").add("predicted", "integer")
-    return docs.select(F.col("text").alias("__text"), *carry).mapInArrow(_score(model), schema)
+    return small_batches(docs).select(F.col("text").alias("__text"), *carry).mapInArrow(_score(model), schema)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
