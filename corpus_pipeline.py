@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessara.llm import bpe, minhash_dedup, mixing, quality, secrets
-from tessara.llm.common import staged, table
+from tessara.llm.common import staged, table, text_key
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,12 +24,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (shingles of 5 words, similarity 0.8 or more), that of the smallest id.
 
-    Repeated rows of that id are one document and leave one row.
+    Ids do not tell documents apart: different texts under a null or shared id
+    are different documents.  Of texts of one group under its id, that of the
+    least key stays; rows equal in id and text leave one row, the least.  Texts
+    without words are in no group; of them only equal rows leave one row.
     """
-    found = minhash_dedup.near_duplicates(docs, n=5)
-    kept = staged(found.filter("kept").select("doc_id").distinct(), "kept")
-    rest = docs.select(*COLUMNS).join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return rest.dropDuplicates(["doc_id"]) if _repeated(docs) else rest
+    found = minhash_dedup.grouped(docs, n=5).filter("kept")
+    # Rows of one group that are kept have one id, that of the group.
+    chosen = found.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("id"), F.min("text_key").alias("key"))
+    free = found.filter("root is null").select("doc_id", "text_key").distinct()
+    kept = staged(chosen.select("id", "key", F.lit(False).alias("free")).union(free.select("doc_id", "text_key", F.lit(True))), "kept")
+    same = docs["doc_id"].eqNullSafe(kept["id"]) & (text_key(docs["text"]) == kept["key"])
+    rest = docs.select(*COLUMNS).join(kept, same)
+    if not _repeated(docs):
+        return rest.select(*COLUMNS)
+    more = F.struct("lang", "source", "n_chars")
+    one = rest.groupBy("doc_id", "text", F.when(F.col("free"), more).alias("own")).agg(F.min(more).alias("more"))
+    return one.select("doc_id", "text", "more.*").select(*COLUMNS)
 
 
 def _repeated(docs: DataFrame) -> bool:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import small_batches, staged, table
+from .common import small_batches, staged, table, text_key
 
 BANDS, BAND_ROWS = 32, 4
 BATCH = 32
@@ -95,8 +95,8 @@ def _sign(n: int):
                     keys.append(set_key(s) if len(s) else None)
                     signs.append(signature(s).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())],
-                    ["doc_id", "n_shingles", "node", "sign"],
+                    [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())],
+                    ["doc_id", "text_key", "n_shingles", "key", "sign"],
                 )
 
     return run
@@ -240,17 +240,26 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text).
+    """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text); see `grouped`."""
+    return grouped(docs, n, percent, miss).select("doc_id", "n_shingles", "component_id", "kept")
 
-    Links sets with 100 * intersection >= percent * union; miss: the chance at
+
+def grouped(docs: DataFrame, n: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+    """doc_id, text_key, n_shingles, root, component_id, kept for every row of docs(doc_id, text).
+
+    root numbers the component, also where ids are null or name several texts;
+    it is null for texts without words, which are in none.  Links sets with 100 * intersection >= percent * union; miss: the chance at
     which the posterior bound may drop a pair that holds.
     """
     kind = dict(docs.dtypes)["doc_id"]
     floors = posterior_floors(percent / 100, miss)
-    signed = staged(small_batches(docs).select("doc_id", "text").mapInArrow(_sign(n), f"doc_id {kind}, n_shingles long, key binary, sign binary"), "signed")
+    signed = staged(small_batches(docs).select("doc_id", "text", text_key(F.col("text"))).mapInArrow(_sign(n), f"doc_id {kind}, text_key binary, n_shingles long, key binary, sign binary"), "signed")
     # Numbers given once, in a written table, stay what they are.
     nodes = staged(
-        signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("sign").alias("sign")).withColumn("node", F.monotonically_increasing_id()),
+        signed.filter("key is not null")
+        .groupBy("key")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first"), F.first("sign").alias("sign"))
+        .select("key", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_text"), "sign", F.monotonically_increasing_id().alias("node")),
         "nodes",
     )
     signs = nodes.select("node", "sign")
@@ -258,10 +267,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float
     shared = members.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1")
     members = staged(members.join(shared, "band"), "members")
 
-    involved = members.select("node").distinct().join(nodes.select("node", "first_id", "key"), "node")
+    involved = members.select("node").distinct().join(nodes.select("node", "first_id", "first_text", "key"), "node")
     sets = staged(
-        docs.select("doc_id", "text")
-        .join(involved, F.col("doc_id").eqNullSafe(F.col("first_id")))
+        docs.select("doc_id", "text", text_key(F.col("text")))
+        .join(involved, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_text")))
         .select("node", "text", "key")
         .mapInArrow(_sets(n), "node long, items array<long>")
         .dropDuplicates(["node"]),
@@ -311,10 +320,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float
     roots = components(links.union(staged(more, "more")))
 
     owner = _rooted(nodes.select("node", "key", "first_id"), roots)
-    named = owner.join(owner.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("key", "component_id")
-    out = signed.select("doc_id", "n_shingles", "key").join(named, "key", "left")
+    named = owner.join(owner.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("key", "root", "component_id")
+    out = signed.select("doc_id", "text_key", "n_shingles", "key").join(named, "key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", "root", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op3_minhash_dedup(spark, sf_dir: str) -> DataFrame:

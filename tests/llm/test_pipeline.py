@@ -64,3 +64,19 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_run(spark, tmp_path):
     got = P.run(spark, small(tmp_path))
     assert got.columns == ["doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() > 50
+
+
+def test_near_duplicates_keep_texts_of_null_and_shared_ids(spark, tmp_path):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    near = lambda k: text(k) + " more"
+    rows = [(None, text(k), "en", "a", 1) for k in range(5)] + [(None, near(0), "en", "a", 1)]  # five groups without an id
+    rows += [(7, text(10), "en", "a", 1), (7, text(11), "en", "a", 1)]  # two texts under one id
+    rows += [(3, text(12), "en", "a", 1), (7, near(12), "en", "a", 1)]  # a near copy under that id
+    rows += [(8, text(13), "en", "b", 1), (8, text(13), "en", "a", 1), (None, near(13), "en", "a", 1)]
+    rows += [(None, None, None, "a", None), (None, None, None, "b", None), (None, None, None, "b", None), (None, "", None, "b", None), (9, None, None, "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = [tuple(r) for r in P.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    left = [r for r in got if r[1] in (text(0), near(0))]
+    assert len(left) == 1 and left[0][0] is None
+    want = rows[1:5] + rows[6:9] + [rows[11]] + rows[13:15] + rows[16:]
+    assert sorted([r for r in got if r not in left], key=repr) == sorted(want, key=repr)
