@@ -4,6 +4,7 @@ A source's repetition rate is its target share of the corpus over its own mass
 (characters, plus one for each document).  Each document draws its number of
 copies by inverting the Poisson distribution with that mean at a uniform number
 hashed from a seed and its id, so a rerun or a lost executor draws the same.
+A large mean is split into equal parts, whose independent draws are added.
 Copies are exploded and dealt over all partitions by a random key, sorted by it.
 
 Defined cases: a null source is a source of its own; a source that `weights`
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import staged, table
 
-MAX_RATE = 16.0
-#: Terms of the distribution: P(more | rate <= MAX_RATE) is under 1e-30.
+#: Means up to this are drawn at once, larger ones in parts.
+PART_RATE = 16.0
+#: Terms of the distribution: P(more | rate <= PART_RATE) is under 1e-30.
 TERMS = 96
 BITS = 13 * 4
 
@@ -30,15 +32,15 @@ def hashed(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("/", *parts)), 1, BITS // 4), 16, 10).cast("long")
 
 
-def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.5, total: float = 1.0, max_rate: float = MAX_RATE) -> DataFrame:
+def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.5, total: float = 1.0, max_rate: float | None = None) -> DataFrame:
     """source, mass, rate: one row per source.
 
     weights: target shares (any scale); by default each source's mass to the
-    power alpha.  total: the mass of the mixture, in corpora.  A rate over
-    max_rate is cut to it, as no source should be repeated without bound.
+    power alpha.  total: the mass of the mixture, in corpora.  With a
+    max_rate, rates over it are cut to it, and the mixture misses the shares.
     """
-    if not 0 < max_rate <= MAX_RATE or total <= 0:
-        raise ValueError(f"max_rate must be in (0, {MAX_RATE:g}] and total positive")
+    if (max_rate is not None and max_rate <= 0) or total <= 0:
+        raise ValueError("max_rate and total must be positive")
     mass = docs.groupBy("source").agg(F.sum(F.length(F.coalesce("text", F.lit(""))) + F.lit(1)).alias("mass"))
     if weights is None:
         share = F.pow(F.col("mass").cast("double"), F.lit(alpha))
@@ -51,7 +53,7 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
     mass = staged(mass.withColumn("share", share), "source-mass")
     sums = mass.agg(F.sum("mass").alias("mass"), F.sum("share").alias("share")).first()
     rate = F.lit(float(total)) * F.col("share") / F.lit(float(sums.share or 1)) * F.lit(float(sums.mass or 1)) / F.col("mass")
-    return mass.select("source", "mass", F.least(rate, F.lit(float(max_rate))).alias("rate"))
+    return mass.select("source", "mass", (rate if max_rate is None else F.least(rate, F.lit(float(max_rate)))).alias("rate"))
 
 
 def poisson_cdf(rate: Column, terms: int = TERMS) -> Column:
@@ -73,11 +75,17 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     """All columns of docs, plus copy (from 1) and shuffle_key, in random order."""
     docs = docs.drop("copy", "shuffle_key")
     # One row per source, staged so that its true size decides whether it is broadcast.
-    table_ = staged(source_rates(docs, weights, **rates).select(F.col("source").alias("__source"), poisson_cdf(F.col("rate")).alias("__cdf")), "rates")
+    parts = F.greatest(F.ceil(F.col("rate") / F.lit(PART_RATE)), F.lit(1)).cast("int")
+    split = source_rates(docs, weights, **rates).withColumn("parts", parts)
+    table_ = staged(split.select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), poisson_cdf(F.col("rate") / F.col("parts")).alias("__cdf")), "rates")
     who = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
-    u = hashed(F.lit(str(seed)), F.lit("count"), who) / F.lit(float(1 << BITS))
-    drawn = docs.join(table_, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__u", u)
-    count = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
+    uniform = lambda *parts: hashed(F.lit(str(seed)), F.lit("count"), who, *parts) / F.lit(float(1 << BITS))
+    below = lambda u: F.size(F.filter("__cdf", lambda c: c <= u))
+    # The numbers of further parts are an array, so that each is hashed once and not for every term.
+    others = F.transform(F.sequence(F.lit(2), F.col("__parts")), lambda k: uniform(k.cast("string")))
+    further = F.when(F.col("__parts") > 1, F.aggregate(others, F.lit(0), lambda n, u: n + below(u))).otherwise(0)
+    drawn = docs.join(table_, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__u", uniform())
+    count = below(F.col("__u")) + further
     copies = drawn.withColumn("__count", count).filter("__count > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__count"))))
     key = hashed(F.lit(str(seed)), F.lit("order"), who, F.col("copy").cast("string"))
     mixed = copies.withColumn("shuffle_key", key).select(*docs.columns, "copy", "shuffle_key")

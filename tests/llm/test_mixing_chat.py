@@ -44,6 +44,17 @@ def test_mix_draws_poisson_counts(spark):
         mixing.mix_sources(docs, {"a": -1.0})
 
 
+def test_mix_reaches_targets_of_small_sources(spark):
+    docs = spark.range(10000).select(F.col("id").alias("doc_id"), F.lit("x" * 9).alias("text"), F.when(F.col("id") < 100, "small").otherwise("big").alias("source"))
+    assert {r.source: round(r.rate, 9) for r in mixing.source_rates(docs, {"small": 1, "big": 1}).collect()}["small"] == 50
+    counts = [r["count"] for r in mixing.mix_sources(docs, {"small": 1, "big": 1}).filter("source = 'small'").groupBy("doc_id").count().collect()]
+    assert len(counts) == 100 and abs(sum(counts) - 5000) < 5 * math.sqrt(5000)
+    spread = sum((c - 50) ** 2 for c in counts) / 100
+    assert 20 < spread < 100
+    cut = {r.source: r.rate for r in mixing.source_rates(docs, {"small": 1, "big": 1}, max_rate=20).collect()}
+    assert cut["small"] == 20
+
+
 def test_mix_nulls(spark):
     docs = spark.createDataFrame([(None, None, None), (None, "t", None), (1, "", "s"), (1, "", "s")], "doc_id long, text string, source string")
     mixed = mixing.mix_sources(docs, {None: 1, "s": 1}, total=8.0)
