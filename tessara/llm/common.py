@@ -65,3 +65,14 @@ def least_hashed(rows: DataFrame, key: str, most: int, *ties: str) -> DataFrame:
             break
         share, some = 2 * share, rows  # one key on many rows
     return some.withColumn("__h", h).orderBy("__h", key, *ties).limit(most).drop("__h")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """label, text: at most `most` rows, those of the labelled ids with the least hashes.
+
+    Of labels(doc_id, label), an id's least label counts; of docs(doc_id, text),
+    an id that names several texts gives the one with the least key.
+    """
+    known = labels.groupBy("doc_id").agg(F.min("label").alias("label"))
+    found = docs.select("doc_id", "text").join(F.broadcast(least_hashed(known, "doc_id", most)), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", text_key(F.col("text"))).alias("text")).select("label", "text")

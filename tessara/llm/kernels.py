@@ -7,10 +7,12 @@ UTF-8 finds the same words as a scan of code points.  Rows never share words.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 SPACE = np.zeros(256, dtype=bool)
@@ -19,52 +21,22 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 SLICE = 1 << 19
 
 _U = np.uint64
-_BYTE_BASE = 0x9E3779B97F4A7C15 | 1
-GRAM_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: Spans up to this many bytes are hashed eight bytes at a time, all at once; longer ones one by one.
+LONG_SPAN = 64
+_SIZE, _STEP = (_U(0x2545F4914F6CDD1D), _U(0x9E3779B97F4A7C15)), (_U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F))
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: an invertible scrambling of 64-bit values."""
     x = x ^ (x >> _U(30))
-    x = x * _U(0xBF58476D1CE4E5B9)
+    x *= _U(0xBF58476D1CE4E5B9)
     x ^= x >> _U(27)
     x *= _U(0x94D049BB133111EB)
     x ^= x >> _U(31)
     return x
 
 
-class _Powers:
-    """base**i and base**-i modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, SLICE + 1)
-            with np.errstate(over="ignore"):
-                full = np.full(size, self.base, dtype=np.uint64)
-                full[0] = 1
-                up = np.multiply.accumulate(full)
-                full[1:] = self.inverse
-                down = np.multiply.accumulate(full)
-            if size > 2 * SLICE:  # one very long row: not kept
-                return up[:n], down[:n]
-            self.up, self.down = up, down
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = {b: _Powers(b) for b in (_BYTE_BASE, *GRAM_BASES)}
-
-
-def _prefix(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _POWERS[base].get(len(values) + 1)
-    total = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[:-1], out=total[1:])
-    return total, down
-
-
 @dataclass
 class Rows:
     """A slice of rows: bytes, row offsets into them, and the index of the first row."""
@@ -134,20 +106,61 @@ def find_words(rows: Rows) -> Words:
     return Words(starts, ends, np.searchsorted(starts, offsets))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; equal bytes, equal hashes."""
-    total, down = _prefix(data.astype(np.uint64) + _U(1), _BYTE_BASE)
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) * _U(0x2545F4914F6CDD1D)))
-
-
-def gram_hashes(words: np.ndarray, n: int, base: int = GRAM_BASES[0]) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lanes: int = 1) -> np.ndarray:
+    """64-bit hashes of each byte span, one independent row for each of 1 or 2 lanes; equal bytes, equal hashes.
+
+    Up to LONG_SPAN bytes, each step scrambles the state with the next eight
+    bytes, so spans of one size up to eight bytes never collide; longer spans
+    take a cryptographic digest.
+    """
+    size = ends - starts
+    eights = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    out = [size.astype(np.uint64) * _SIZE[k] for k in range(lanes)]
+    alive = np.flatnonzero(size <= LONG_SPAN)
+    for at in range(0, LONG_SPAN, 8):
+        alive = alive[size[alive] > at]
+        if not len(alive):
+            break
+        value = eights[starts[alive] + at] & _MASKS[np.minimum(size[alive] - at, 8)]
+        for k in range(lanes):
+            out[k][alive] = mix(out[k][alive] ^ value * _STEP[k])
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+        for k in range(lanes):
+            out[k][i] = int.from_bytes(digest[8 * k : 8 * k + 8], "little")
+    return out[0] if lanes == 1 else np.stack(out)
+
+
+def span_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each of disjoint, ascending byte spans: two have one number if and only if their bytes are equal."""
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    values = data[np.cumsum(edge, dtype=np.int8)[:-1].astype(bool)]
+    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+    return spans.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def gram_codes(codes: np.ndarray, n: int) -> np.ndarray:
+    """A number for codes[i:i+n] of every i: two have one number if and only if they are equal; codes are under 2**31."""
+    out, have = codes, 1
+    while have < n and len(out):
+        step = min(have, n - have)
+        out = pd.factorize(out[: max(0, len(out) - step)] << 32 | out[step:])[0].astype(np.int64)
+        have += step
+    return out
+
+
+def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of words[i:i+n] for every i (those that cross rows included; mask with `gram_valid`)."""
-    if len(words) < n:
-        return np.empty(0, dtype=np.uint64)
-    total, down = _prefix(words, base)
-    m = len(words) - n + 1
-    return mix((total[n:] - total[:m]) * down[:m])
+    out, have = words, 1
+    while have < n and len(out):
+        step = min(have, n - have)
+        out = mix(out[: max(0, len(out) - step)] * _U(0xD6E8FEB86659FD93 + 2 * step) + out[step:])
+        have += step
+    return out
 
 
 def gram_valid(words: Words, n: int) -> np.ndarray:

@@ -7,10 +7,14 @@
 3. Candidates are compared batch by batch of their signatures.  With m values
    compared and k equal, the posterior of the similarity is Beta(1 + k, 1 + m - k);
    a pair goes once its chance of reaching the threshold is under `miss`.
-4. Survivors are verified on full shingle sets.
-5. Within a bucket all members meet a leader first.  After that only members of
-   different components are compared, in blocks of bounded size that give back
-   at most a spanning tree of links, so no pairs of a large group are listed
+4. Survivors are verified on full shingle sets, made anew from their texts and
+   compared word by word, not by hashes.  Texts are what travels: they compress,
+   and hashes of their shingles do not.
+5. Each node first meets the bucket leader that it shares most bands with.
+   After that only members of different components are compared, in blocks of
+   bounded size: one pass over signatures names the members with a possible
+   partner, and only these bring their texts to a second pass, which gives back
+   at most a spanning tree of links.  So no pairs of a large group are listed
    and no link between components is lost.
 
 Defined cases: null and word-free texts are linked with nothing and keep their
@@ -26,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +68,25 @@ def set_key(shingles: np.ndarray) -> bytes:
     return hashlib.md5(shingles.tobytes()).digest()
 
 
+def exact_sets(column: pa.Array, n: int) -> list[np.ndarray]:
+    """For every row the sorted distinct numbers of its shingles: equal in any two rows if and only if the words are."""
+    out: list[np.ndarray] = []
+    whole: dict[tuple, int] = {}  # sequences under n words get numbers below zero
+    for rows in K.slices(column, 1 << 62):
+        rows.data = K.lower_ascii(rows.data)
+        words = K.find_words(rows)
+        codes = K.span_codes(rows.data, words.starts, words.ends)
+        grams = K.gram_codes(codes, n)
+        for lo, hi in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+            if hi - lo >= n:
+                out.append(np.unique(grams[lo : hi - n + 1]))
+            else:
+                out.append(np.array([whole.setdefault(tuple(codes[lo:hi].tolist()), -1 - len(whole))] if hi > lo else [], np.int64))
+    return out
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
+    """The low halves of 128 minimum 32-bit hashes; unequal minima agree there once in 65,536."""
     low = (shingles >> np.uint64(32)).astype(np.uint32)
     best = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(low), 1024):
@@ -72,7 +95,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
         h *= np.uint32(0x2C1B3C6D)
         h ^= h >> np.uint32(13)
         np.minimum(best, h.min(axis=1), out=best)
-    return best
+    return best.astype(np.uint16)
 
 
 def posterior_floors(threshold: float, miss: float) -> list[int]:
@@ -103,16 +126,14 @@ def _sign(n: int):
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """32 rows of each node; the lowest five bits of a band are its number."""
+    slot = np.arange(BANDS, dtype=np.uint64)[None, :]
     for batch in batches:
         for lo in range(0, batch.num_rows, 4000):
             part = batch.slice(lo, 4000)
-            m = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, BAND_ROWS).astype(np.uint64)
-            slot = np.broadcast_to(np.arange(BANDS, dtype=np.uint64)[None, :], m.shape[:2])
-            h = slot
-            for i in range(BAND_ROWS):
-                h = K.mix((h * np.uint64(0x9E3779B97F4A7C15)) ^ m[:, :, i])
-            nodes = np.repeat(part.column(0).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(slot.reshape(-1).astype(np.int32)), pa.array(nodes)], ["band", "slot", "node"])
+            rows = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8").reshape(-1, BANDS)
+            h = K.mix(rows ^ K.mix(slot + np.uint64(1))) & ~np.uint64(BANDS - 1) | slot
+            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], ["band", "node"])
 
 
 def _prune(floors: list[int]):
@@ -120,7 +141,7 @@ def _prune(floors: list[int]):
         for batch in batches:
             for lo in range(0, batch.num_rows, 4000):
                 part = batch.slice(lo, 4000)
-                x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint32).reshape(-1, PERMUTATIONS) for i in (2, 3))
+                x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint16).reshape(-1, PERMUTATIONS) for i in (2, 3))
                 alive, equal = np.arange(part.num_rows), np.zeros(part.num_rows, np.int64)
                 for step, floor in enumerate(floors):
                     cut = slice(step * BATCH, (step + 1) * BATCH)
@@ -132,17 +153,21 @@ def _prune(floors: list[int]):
     return run
 
 
-def _sets(n: int):
+def _verify(n: int, percent: int):
+    """The pairs (a, b, x, y) whose texts x and y are linked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                nodes, sets = [], []
-                for node, key, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(part.column(1), n), strict=True):
-                    if set_key(s) == key:
-                        nodes.append(node)
-                        sets.append(s.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "items"])
+            size = np.cumsum(sum(pc.binary_length(batch.column(i)).to_numpy(zero_copy_only=False) for i in (2, 3)))
+            starts = np.unique(np.searchsorted(size, np.arange(0, size[-1] + 1, K.SLICE), side="left")) if len(size) else []
+            for lo, hi in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                part = batch.slice(lo, hi - lo)
+                sets = exact_sets(pa.concat_arrays([part.column(2), part.column(3)]), n)
+                good = []
+                for x, y in zip(sets[: len(part)], sets[len(part) :], strict=True):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    good.append(100 * both >= percent * (len(x) + len(y) - both))
+                yield part.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
     return run
 
@@ -158,18 +183,53 @@ def _agreeing(signs: np.ndarray, one: np.ndarray, among: np.ndarray, floors: lis
     return among
 
 
-def _compare(floors: list[int], percent: int):
-    """Links between components inside the buckets of a shard; a pair is looked at in the first bucket that it shares."""
+def _candidates(rows: pa.Table, floors: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, others): members of other components in query i's block that may be linked with it; a pair comes in the first band that it shares."""
+    block = np.stack([rows[c].to_numpy() for c in ("band", "q", "m")])
+    starts = np.flatnonzero(np.r_[True, (block[:, 1:] != block[:, :-1]).any(axis=0)]) if rows.num_rows else np.empty(0, int)
+    node, root, slot = rows["node"].to_numpy(), rows["root"].to_numpy(), rows["band"].to_numpy() & (BANDS - 1)
+    query, member = (rows[c].to_numpy(zero_copy_only=False) for c in ("query", "member"))
+    signs = np.frombuffer(b"".join(rows["sign"].to_pylist()), np.uint16).reshape(-1, PERMUTATIONS)
+    bands = signs.view("<u8")
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True):
+        members = lo + np.flatnonzero(member[lo:hi])
+        for i in (lo + np.flatnonzero(query[lo:hi])).tolist():
+            # Of two queries in one block, the one with the larger node looks at the other.
+            rest = members[(root[members] != root[i]) & (~query[members] | (node[members] < node[i]))]
+            rest = _agreeing(signs, signs[i], rest, floors)
+            if len(rest):
+                rest = rest[(bands[rest] == bands[i]).argmax(axis=1) == slot[i]]
+            if len(rest):
+                yield i, rest
+
+
+_BLOCK_ORDER = [("band", "ascending"), ("q", "ascending"), ("m", "ascending"), ("node", "ascending")]
+_BLOCK = ["band", "node", "root", "q", "m", "query", "member"]
+_BLOCK_SCHEMA = "band long, node long, root long, q long, m long, query boolean, member boolean"
+
+
+def _promising(floors: list[int]):
+    """The rows of a shard that have a possible partner in their block."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(_BLOCK_ORDER).combine_chunks()
+        marked = np.zeros(rows.num_rows, bool)
+        for i, rest in _candidates(rows, floors):
+            marked[i] = True
+            marked[rest] = True
+        return rows.filter(pa.array(marked)).select(_BLOCK)
+
+    return run
+
+
+def _compare(floors: list[int], n: int, percent: int):
+    """Links between components inside the blocks of a shard."""
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("band", "ascending"), ("q", "ascending"), ("m", "ascending"), ("node", "ascending")]).combine_chunks()
-        block = np.stack([rows[c].to_numpy() for c in ("band", "q", "m")])
-        starts = np.flatnonzero(np.r_[True, (block[:, 1:] != block[:, :-1]).any(axis=0)]) if rows.num_rows else np.empty(0, int)
-        node, root, slot = (rows[c].to_numpy() for c in ("node", "root", "slot"))
-        query, member = (rows[c].to_numpy(zero_copy_only=False) for c in ("query", "member"))
-        signs = np.frombuffer(b"".join(rows["sign"].to_pylist()), np.uint32).reshape(-1, PERMUTATIONS)
-        items = rows["items"].chunk(0) if rows["items"].num_chunks else pa.array([], pa.list_(pa.int64()))
-        at, values = items.offsets.to_numpy(), items.values.to_numpy().view(np.uint64)
+        rows = rows.sort_by(_BLOCK_ORDER).combine_chunks()
+        node, root = rows["node"].to_numpy(), rows["root"].to_numpy()
+        _, first, own = np.unique(node, return_index=True, return_inverse=True)
+        sets = exact_sets(rows["text"].combine_chunks().take(pa.array(first)), n)
         above: dict[int, int] = {}
 
         def find(r: int) -> int:
@@ -178,30 +238,17 @@ def _compare(floors: list[int], percent: int):
             return r
 
         out: list[tuple[int, int]] = []
-        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True):
-            members = lo + np.flatnonzero(member[lo:hi])
-            for i in (lo + np.flatnonzero(query[lo:hi])).tolist():
-                # Of two queries in one block, the one with the larger node looks at the other.
-                rest = members[(root[members] != root[i]) & (~query[members] | (node[members] < node[i]))]
-                rest = _agreeing(signs, signs[i], rest, floors)
-                if not len(rest):
-                    continue
-                common = (signs[rest].reshape(-1, BANDS, BAND_ROWS) == signs[i].reshape(BANDS, BAND_ROWS)).all(axis=2)
-                rest = rest[common.argmax(axis=1) == slot[i]]
-                mine = find(int(root[i]))
-                rest = rest[np.array([find(r) != mine for r in root[rest].tolist()], bool)] if len(rest) else rest
-                if not len(rest):
+        for i, rest in _candidates(rows, floors):
+            x = sets[own[i]]
+            for j in rest.tolist():
+                a, b = find(int(root[i])), find(int(root[j]))
+                y = sets[own[j]]
+                if a == b or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     continue
-                own = values[at[i] : at[i + 1]]
-                sizes = at[rest + 1] - at[rest]
-                others = np.concatenate([values[at[j] : at[j + 1]] for j in rest.tolist()])
-                hit = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
-                both = np.add.reduceat(hit, np.r_[0, np.cumsum(sizes)[:-1]], dtype=np.int64)
-                for j in rest[100 * both >= percent * (len(own) + sizes - both)].tolist():
-                    x, y = find(int(root[i])), find(int(root[j]))
-                    if x != y:
-                        above[max(x, y)] = min(x, y)
-                        out.append((int(node[i]), int(node[j])))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    above[max(a, b)] = min(a, b)
+                    out.append((int(node[i]), int(node[j])))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
@@ -253,44 +300,32 @@ def grouped(docs: DataFrame, n: int = 5, percent: int = 80, miss: float = 1e-6)
     """
     kind = dict(docs.dtypes)["doc_id"]
     floors = posterior_floors(percent / 100, miss)
-    signed = staged(small_batches(docs).select("doc_id", "text", text_key(F.col("text"))).mapInArrow(_sign(n), f"doc_id {kind}, text_key binary, n_shingles long, key binary, sign binary"), "signed")
+    keyed = small_batches(docs).select("doc_id", "text", text_key(F.col("text")))
+    signed = staged(keyed.mapInArrow(_sign(n), f"doc_id {kind}, text_key binary, n_shingles long, key binary, sign binary"), "signed")
     # Numbers given once, in a written table, stay what they are.
     nodes = staged(
         signed.filter("key is not null")
         .groupBy("key")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first"), F.first("sign").alias("sign"))
-        .select("key", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_text"), "sign", F.monotonically_increasing_id().alias("node")),
+        .agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.first("sign").alias("sign"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
     signs = nodes.select("node", "sign")
-    members = signs.mapInArrow(_bands, "band long, slot int, node long")
-    shared = members.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1")
+    members = signs.mapInArrow(_bands, "band long, node long")
+    shared = members.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1").drop("n")
     members = staged(members.join(shared, "band"), "members")
 
-    involved = members.select("node").distinct().join(nodes.select("node", "first_id", "first_text", "key"), "node")
-    sets = staged(
-        docs.select("doc_id", "text", text_key(F.col("text")))
-        .join(involved, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_text")))
-        .select("node", "text", "key")
-        .mapInArrow(_sets(n), "node long, items array<long>")
-        .dropDuplicates(["node"]),
-        "sets",
-    )
-
-    # All members of a bucket meet its leader.
-    pairs = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    survivors = pairs.join(signs.toDF("a", "x"), "a").join(signs.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_prune(floors), "a long, b long")
-    both = F.size(F.array_intersect("x", "y"))
-    links = staged(
-        survivors.join(sets.toDF("a", "x"), "a")
-        .join(sets.toDF("b", "y"), "b")
-        .filter(both * 100 >= (F.size("x") + F.size("y") - both) * percent)
-        .select("a", "b"),
-        "links",
-    )
-
-    # In buckets that still hold several components, members outside the largest meet all others, in blocks.
-    rooted = staged(_rooted(members.select("band", "slot", "node"), components(links)), "rooted")
+    # A node meets the leader that it shares most bands with.
+    counted = members.filter("node <> leader").repartition("node").groupBy("node", "leader").agg(F.count("*").alias("n"))
+    pairs = counted.groupBy(F.col("node").alias("b")).agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("a"))
+    survivors = pairs.join(signs.toDF("b", "y"), "b").join(signs.toDF("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(_prune(floors), "a long, b long")
+    involved = members.select("node").distinct().join(nodes.select("node", "text_key"), "node")
+    texts = staged(keyed.groupBy("text_key").agg(F.first("text").alias("text")).join(involved, "text_key").select("node", "text"), "texts")
+    compared = survivors.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    links = staged(small_batches(compared).mapInArrow(_verify(n, percent), "a long, b long"), "links")
+
+    # In buckets that hold several components, members outside the largest meet all others, in blocks.
+    rooted = staged(_rooted(members.select("band", "node"), components(links)), "rooted")
     by_root = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
     mixed = (
         by_root.groupBy("band")
@@ -308,15 +343,14 @@ def grouped(docs: DataFrame, n: int = 5, percent: int = 80, miss: float = 1e-6)
     as_query = F.when(F.col("outside"), F.transform(numbers(F.col("nm")), lambda m: cell(own_q, m, F.lit(True), F.lit(False)))).otherwise(F.array())
     as_member = F.transform(numbers(F.col("nq")), lambda q: cell(q, own_m, F.lit(False), F.lit(True)))
     cells = F.when(single, F.array(cell(F.lit(0), F.lit(0), F.col("outside"), F.lit(True)))).otherwise(F.concat(as_query, as_member))
-    blocks = staged(open_.select("band", "slot", "node", "root", F.explode(cells).alias("cell")).select("band", "slot", "node", "root", "cell.*"), "blocks")
-    shards = max(1, -(-blocks.count() // SHARD_ROWS))
-    more = (
-        blocks.join(signs, "node")
-        .join(sets, "node")
-        .withColumn("shard", F.pmod(F.xxhash64("band", "q", "m"), F.lit(shards)))
-        .groupBy("shard")
-        .applyInArrow(_compare(floors, percent), "a long, b long")
-    )
+    blocks = staged(open_.select("band", "node", "root", F.explode(cells).alias("cell")).select("band", "node", "root", "cell.*"), "blocks")
+
+    def dealt(rows: DataFrame):
+        shards = max(1, -(-rows.count() // SHARD_ROWS))
+        return rows.join(signs, "node").withColumn("shard", F.pmod(F.xxhash64("band", "q", "m"), F.lit(shards)))
+
+    promising = staged(dealt(blocks).groupBy("shard").applyInArrow(_promising(floors), _BLOCK_SCHEMA), "promising")
+    more = dealt(promising).join(texts, "node").groupBy("shard").applyInArrow(_compare(floors, n, percent), "a long, b long")
     roots = components(links.union(staged(more, "more")))
 
     owner = _rooted(nodes.select("node", "key", "first_id"), roots)

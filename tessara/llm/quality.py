@@ -1,13 +1,14 @@
 """Quality rules: gradient-boosted trees over document statistics.
 
-Statistics come from vectorised byte scans of whole texts.  Trees are grown on
+Statistics come from vectorised byte scans of whole texts; lines and windows of
+words are compared by their bytes, not by hashes.  Trees are grown on
 the driver from a bounded sample of labelled documents, with monotonic
 constraints on chosen statistics, and flattened into numpy node arrays that
 score a batch of documents level by level.
 
 Defined cases: null and empty texts have no words and fail the base rules;
-labels that are null or belong to no document are not used; a document that is
-labelled twice counts twice; with no labels of one kind the base rules decide
+labels that are null or belong to no document are not used; of a document's
+labels the least counts, and of its texts one; with no labels of one kind the base rules decide
 alone; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -19,12 +20,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import least_hashed, small_batches, table
+from .common import labelled, small_batches, table
 
 #: At most this many labelled documents are used for training: those with the smallest hashes.
 TRAIN_DOCS = 12000
@@ -45,10 +47,6 @@ def _per_row(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def _own(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
-    return K.mix(hashes ^ K.mix(row.astype(np.uint64) + np.uint64(1)))
-
-
 def statistics(rows: K.Rows) -> tuple[np.ndarray, np.ndarray]:
     """Base counts (rows, 5) and features (rows, 12) of a slice."""
     data, offsets, n = rows.data, rows.offsets, len(rows)
@@ -69,19 +67,18 @@ def statistics(rows: K.Rows) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(inside, out=filled[1:])
     has = filled[ends] > filled[edge] if len(edge) else np.empty(0, bool)
     lines, row_of, ends = edge[has], row_of[has], ends[has]
-    _, first = np.unique(_own(K.span_hashes(data, lines, ends), row_of), return_index=True)
+    _, first = np.unique(row_of << 32 | K.span_codes(data, lines, ends), return_index=True)
     n_lines = np.bincount(row_of, minlength=n)
     n_dup = n_lines - np.bincount(row_of[first], minlength=n)
 
-    wh = K.span_hashes(data, words.starts, words.ends)
     row = words.row_of()
-    grams, valid = K.gram_hashes(wh, WINDOW), K.gram_valid(words, WINDOW)
+    grams, valid = K.gram_codes(K.span_codes(data, words.starts, words.ends), WINDOW), K.gram_valid(words, WINDOW)
     marks = np.zeros(len(grams), bool)
     if valid.any():
         at = np.flatnonzero(valid)
-        _, back, count = np.unique(_own(grams[at], row[at]), return_inverse=True, return_counts=True)
-        marks[at[count[back] > 1]] = True
-    n_repeat = np.bincount(row[K.covered(marks, WINDOW, len(wh))], minlength=n) if len(wh) else np.zeros(n, np.int64)
+        same = pd.factorize(row[at] << 32 | grams[at])[0]
+        marks[at[np.bincount(same)[same] > 1]] = True
+    n_repeat = np.bincount(row[K.covered(marks, WINDOW, len(row))], minlength=n) if len(row) else np.zeros(n, np.int64)
 
     base = np.stack([n_words, word_chars, n_symbols, n_dup, n_repeat], axis=1).astype(np.int64)
     w, c = np.maximum(n_words, 1), np.maximum(word_chars, 1)
@@ -197,8 +194,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def labelled_features(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray]:
     """Features and quality of at most `most` labelled documents; that many rows reach the driver."""
-    known = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").alias("label"))
-    rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(least_hashed(known, "doc_id", most, "label")), "doc_id").select(F.col("label").cast("int"), "text").mapInArrow(_features, "label int, x array<double>").limit(4 * most).toArrow()
+    known = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("label"))
+    rows = labelled(small_batches(docs), known, most).mapInArrow(_features, "label int, x array<double>").toArrow()
     x = rows["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)) if rows.num_rows else np.empty((0, len(FEATURES)))
     y = rows["label"].to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # one order, however rows arrive

@@ -7,7 +7,7 @@ the terms of other groups is made, and training adds
 to the loss, so that a group's name alone does not move a score.
 
 Defined cases: null and empty texts get the score of no features; labels that
-are null or belong to no document are not used; with no labels of one kind all
+are null or belong to no document are not used, and of a document's labels the least counts; with no labels of one kind all
 scores are 0; a null doc_id is held in; equal texts get equal scores; an empty
 table gives an empty result; other columns are never read.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import least_hashed, small_batches, table
+from .common import labelled, small_batches, staged, table
 
 #: At most this many labelled documents are used for training: those with the smallest hashes.
 TRAIN_DOCS = 12000
@@ -174,7 +174,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, identity: list[list[str]] | None = None, strength: float = STRENGTH) -> Model | None:
     """A model from at most `most` held-in labelled documents, of which only features of some frequency and difference reach the driver."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("label"))
-    sample = small_batches(docs).select("doc_id", "text").join(F.broadcast(least_hashed(known, "doc_id", most, "label")), "doc_id").select("label", "text")
+    sample = staged(labelled(small_batches(docs), known, most), "labelled")
     total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("pos")).first()
     if not 0 < total.pos < total.n:
         return None
@@ -194,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, identity:
             kept = np.r_[0, np.cumsum(hit)][offsets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.array(values[hit]))], ["label", "x"])
 
-    rows = sample.mapInArrow(chosen_only, "label int, x array<long>").limit(4 * most).toArrow()
+    rows = sample.mapInArrow(chosen_only, "label int, x array<long>").toArrow()
     data = sorted((y, sorted(x)) for x, y in zip(rows["x"].to_pylist(), rows["label"].to_pylist(), strict=True))
     return fit([np.array(x, np.int64).view(np.uint64) for _, x in data], np.array([y for y, _ in data], float), identity, strength)
 

@@ -65,3 +65,17 @@ def M_row(r):
 def test_floors():
     floors = M.posterior_floors(0.8, 1e-6)
     assert len(floors) == 4 and floors == sorted(floors) and floors[-1] < 0.8 * 128
+
+
+def morse(n, a="a", b="b"):
+    """Two of these, with a and b swapped, have one value under every polynomial hash modulo 2**64."""
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    texts = [t for n in (1024, 2048, 4096) for t in (morse(n), morse(n, "b", "a"), f"x {morse(n)} y z q", f"x {morse(n, 'b', 'a')} y z q")]
+    pair = lambda a, b: " ".join((a, b)[bin(i).count("1") % 2] for i in range(2048))
+    texts += [pair("alpha", "beta"), pair("beta", "alpha"), pair("alpha", "gamma")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(df, n=4).collect()}
+    assert got == M.brute_force(list(enumerate(texts)), 4)
