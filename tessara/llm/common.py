@@ -35,6 +35,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df in the shared folder as a table of as many buckets of key as there are shuffle partitions: joins and groups by key need not move it."""
+    spark = df.sparkSession
+    path = stage_path(spark, name)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    title = f"tessara_{path.rsplit('/', 1)[1].replace('-', '_')}"
+    written = df.repartition(buckets, key).write.option("path", path).option("compression", "zstd")
+    written.format("parquet").bucketBy(buckets, key).saveAsTable(title)
+    return spark.table(title)
+
+
 def text_key(text: Column) -> Column:
     """A 128-bit content key of a text; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("text_key")

@@ -1,17 +1,24 @@
 """Substring dedup with repeated-phrase automata.
 
-1. Census.  Each 35-word window elects as anchor its smallest 18-word gram (by
+1. Texts.  Equal texts become one row with their number, in a table bucketed by
+   text, so that what is found about a text later meets it without moving it.
+2. Census.  Each 35-word window elects as anchor its smallest 9-word gram (by
    hash).  Equal windows elect equal anchors, so a recurring window has a
-   recurring anchor; anchors are about a tenth as many as windows.
-2. Segments.  Texts that hold recurring anchors are cut into runs of windows
-   with one anchor (at most 18 windows, 52 words each), once per distinct text.
-3. Confirmation.  128-bit hashes of those windows are counted over all
-   occurrences; those found twice or more are confirmed.
-4. Automata.  Segments meet the confirmed windows of their anchor in shards of
-   bounded size (a frequent anchor is salted over many shards).  A shard turns
-   confirmed runs into passages, compiles them into an Aho-Corasick automaton
-   over word symbols and streams all its segments through it.
-5. The located spans are gathered per text and cut from every document.
+   recurring anchor; anchors are about a fourteenth as many as windows.
+3. Segments.  Texts that hold recurring anchors are cut into runs of windows
+   with one anchor (at most 27 windows, 61 words each), dealt to shards of
+   bounded size by anchor; a frequent anchor is salted over many shards.
+4. Confirmation.  A shard counts its windows word by word.  Only windows of
+   salted anchors are counted across shards, by 128-bit hashes.  Of each window
+   found twice or more the first place is kept; neighbouring places make
+   passages, written as a table.
+5. Automata.  A shard compiles the windows of its passages into an Aho-Corasick
+   automaton over its words and streams all its segments through it.  Windows
+   are not looked up again: what the automaton does not report stays.
+6. The located spans are gathered per text and cut from every document.
+
+A segment that holds no recurring anchor holds no passage; all others of all
+documents are streamed, each through the one automaton that has its passages.
 
 Defined cases: null text counts as no words; equal texts (repeated rows
 included) are occurrences of each other; documents keep their row, null
@@ -30,16 +37,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import small_batches, staged, table, text_key
+from .common import bucketed, small_batches, staged, table, text_key
 
 WINDOW = 35
 #: Segments that one automaton shard should hold; a more frequent anchor is split.
 SHARD_ROWS = 2000
 
 
+def _gram(window: int) -> int:
+    return window // 4 + 1
+
+
 def _anchors(wh: np.ndarray, words: K.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Gram hashes; each window's anchor (0 where the window crosses rows); which windows are valid."""
-    gram = window // 2 + 1
+    gram = _gram(window)
     grams = K.gram_hashes(wh, gram)
     valid = K.gram_valid(words, window)
     if not len(valid):
@@ -48,7 +59,7 @@ def _anchors(wh: np.ndarray, words: K.Words, window: int) -> tuple[np.ndarray, n
 
 
 def _census(window: int):
-    span = window - (window // 2 + 1) + 1
+    span = window - _gram(window) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,15 +79,15 @@ def _census(window: int):
                 new = np.flatnonzero(np.r_[True, (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)])
                 keys = batch.column(1).take(pa.array(pairs[0][new].astype(np.int64) + rows.first))
                 yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array(pairs[1][new].view(np.int64)), pa.array(np.diff(np.r_[new, len(order)]))],
-                    ["text_key", "anchor", "n"],
+                    [keys, pa.array(pairs[1][new].view(np.int64)), pa.array(np.diff(np.r_[new, len(order)])), batch.column(2).take(pa.array(pairs[0][new].astype(np.int64) + rows.first))],
+                    ["text_key", "anchor", "n", "copies"],
                 )
 
     return run
 
 
 def _segments(window: int):
-    span = window - (window // 2 + 1) + 1
+    span = window - _gram(window) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,21 +133,15 @@ def _segments(window: int):
     return run
 
 
-def _window_hashes(wh: np.ndarray, window: int) -> np.ndarray:
-    out = np.empty(max(0, len(wh) - window + 1), dtype=[("a", np.int64), ("b", np.int64)])
-    out["a"] = K.gram_hashes(wh, window, K.GRAM_BASES[0]).view(np.int64)
-    out["b"] = K.gram_hashes(wh, window, K.GRAM_BASES[1]).view(np.int64)
-    return out
-
-
 def _confirm(window: int):
+    """Distinct windows of a slice as two 64-bit hashes, with their anchor and number."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             anchor, salts, copies = (batch.column(i).to_numpy() for i in (0, 1, 2))
             for rows in K.slices(batch.column(3)):
                 words = K.find_words(rows)
-                wh = K.span_hashes(rows.data, words.starts, words.ends)
-                both = _window_hashes(wh, window)
+                both = _window_hashes(rows, words, window)
                 at = np.flatnonzero(K.gram_valid(words, window))
                 row = words.row_of()[at] + rows.first
                 both = both[at]
@@ -152,62 +157,98 @@ def _confirm(window: int):
     return run
 
 
+def _window_hashes(rows: K.Rows, words: K.Words, window: int) -> np.ndarray:
+    lanes = K.span_hashes(rows.data, words.starts, words.ends, lanes=2)
+    out = np.empty(max(0, len(words.starts) - window + 1), dtype=[("a", np.int64), ("b", np.int64)])
+    for name, lane in zip(("a", "b"), lanes, strict=True):
+        out[name] = K.gram_hashes(lane, window).view(np.int64)
+    return out
+
+
+def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of True."""
+    edge = np.diff(np.concatenate([[0], marks.astype(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def _passages(window: int):
+    """anchor, salts, passage: runs of the first places of a shard's windows that recur."""
+
+    def run(segments: pa.Table, confirmed: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"anchor": [], "salts": [], "passage": []}
+        anchor, salts, copies = (segments[c].to_numpy() for c in ("anchor", "salts", "copies"))
+        for rows in K.slices(segments["segment"].combine_chunks(), 1 << 62):
+            words = K.find_words(rows)
+            at = np.flatnonzero(K.gram_valid(words, window))
+            row = words.row_of()[at]
+            same = K.gram_codes(K.span_codes(rows.data, words.starts, words.ends), window)[at]
+            again = np.bincount(same, copies[row])[same] >= 2 if len(at) else np.empty(0, bool)
+            if confirmed.num_rows:
+                have = set(zip(confirmed["a"].to_pylist(), confirmed["b"].to_pylist(), strict=True))
+                both = _window_hashes(rows, words, window)[at]
+                wide = np.flatnonzero(salts[row] > 1)
+                again[wide] |= np.array([pair in have for pair in both[wide].tolist()], bool)
+            own = np.zeros(len(words.starts) + 1, bool)
+            first = np.unique(same, return_index=True)[1]
+            own[at[first[again[first]]]] = True
+            blob, of_word = rows.data.tobytes(), words.row_of()
+            # The last windows of a row are never valid, so runs end in their row.
+            for b, e in zip(*(x.tolist() for x in _runs(own)), strict=True):
+                out["anchor"].append(int(anchor[of_word[b]]))
+                out["salts"].append(int(salts[of_word[b]]))
+                out["passage"].append(blob[words.starts[b] : words.ends[e + window - 2]])
+        return pa.table([pa.array(out["anchor"], pa.int64()), pa.array(out["salts"], pa.int32()), pa.array(out["passage"], pa.binary()).cast(pa.string())], list(out))
+
+    return run
+
+
+def compiled(passages: list[str], window: int) -> ahocorasick.Automaton | None:
+    """The automaton of all windows of passages, strings of one symbol for each word; None if there are none."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for p in passages:
+        for at in range(len(p) - window + 1):
+            automaton.add_word(p[at : at + window])
+    if not len(automaton):
+        return None
+    automaton.make_automaton()
+    return automaton
+
+
 def _locate(window: int):
+    """text_key, spans: where a shard's automaton finds windows of passages in its segments, as word numbers of the text."""
     empty = pa.table({"text_key": pa.array([], pa.binary()), "spans": pa.array([], pa.list_(pa.int32()))})
 
-    def run(segments: pa.Table, confirmed: pa.Table) -> pa.Table:
-        if not segments.num_rows or not confirmed.num_rows:
+    def run(segments: pa.Table, passages: pa.Table) -> pa.Table:
+        if not segments.num_rows or not passages.num_rows:
             return empty
-        known = np.empty(confirmed.num_rows, dtype=[("a", np.int64), ("b", np.int64)])
-        for c in ("a", "b"):
-            known[c] = confirmed[c].to_numpy()
-        texts = segments["segment"].combine_chunks()
-        known = np.sort(known)
-        hashes, counts, marks = [], [], []
-        for rows in K.slices(texts):
-            words = K.find_words(rows)
-            wh = K.span_hashes(rows.data, words.starts, words.ends)
-            both = _window_hashes(wh, window)
-            at = np.minimum(np.searchsorted(known["a"], both["a"]), len(known) - 1)
-            while True:  # equal first halves are rare: step to the next of them where the second half differs
-                step = (known["a"][at] == both["a"]) & (known["b"][at] < both["b"]) & (at + 1 < len(known))
-                if not step.any():
-                    break
-                at = at + step
-            good = np.zeros(len(wh), bool)
-            good[: len(both)] = (known[at] == both) & K.gram_valid(words, window)
-            hashes.append(wh)
-            counts.append(words.counts)
-            marks.append(good)
-        flat, good = np.concatenate(hashes), np.concatenate(marks)
-        first = np.r_[0, np.cumsum(np.concatenate(counts))]
-        _, symbol = np.unique(flat, return_inverse=True)  # a shard has far fewer words than there are code points
-        stream_of_all = (symbol + 0x10000).astype("<u4").tobytes().decode("utf-32-le")
-        streams = [stream_of_all[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        edges = np.diff(np.r_[0, good.astype(np.int8), 0])  # the last windows of a row are never good, so runs end in their row
-        passages = {stream_of_all[b : e - 1 + window] for b, e in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True)}
-        if not passages:
+        both = pa.concat_arrays([passages["passage"].combine_chunks(), segments["segment"].combine_chunks()])
+        rows = next(K.slices(both, 1 << 62))
+        words = K.find_words(rows)
+        codes = K.span_codes(rows.data, words.starts, words.ends)
+        # Words of no passage share one symbol, which also ends each segment; surrogates are no symbols.
+        known, symbols = np.unique(codes[: words.first[passages.num_rows]], return_inverse=True)
+        table_ = np.zeros(int(codes.max()) + 1 if len(codes) else 1, np.int64)
+        table_[known] = 1 + np.arange(len(known))
+        text = lambda x: (x + 0x10000).astype("<u4").tobytes().decode("utf-32-le")
+        phrases, cut = text(symbols + 1), words.first[: passages.num_rows + 1].tolist()
+        automaton = compiled([phrases[a:b] for a, b in zip(cut, cut[1:], strict=False)], window)
+        if automaton is None:
             return empty
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for p in passages:
-            automaton.add_word(p)
-        automaton.make_automaton()
-        starts, owner, spans = segments["start"].to_numpy(), [], []
-        for i, stream in enumerate(streams):
-            found: list[int] = []
-            for end, length in automaton.iter(stream):
-                lo, hi = end + 1 - length + int(starts[i]), end + 1 + int(starts[i])
-                if found and lo <= found[-1]:
-                    while len(found) > 2 and lo <= found[-3]:
-                        del found[-2:]
-                    found[-2:] = [min(lo, found[-2]), hi]
-                else:
-                    found += [lo, hi]
-            if found:
-                owner.append(i)
-                spans.append(found)
-        keys = segments["text_key"].take(pa.array(owner, pa.int64()))
-        return pa.table({"text_key": keys, "spans": pa.array(spans, pa.list_(pa.int32()))})
+        first = words.first[passages.num_rows :]
+        stream = np.zeros(len(codes) - first[0] + segments.num_rows, np.int64)
+        row = np.repeat(np.arange(segments.num_rows), np.diff(first))
+        stream[np.arange(len(row)) + row] = table_[codes[first[0] :]]
+        ends = np.fromiter((end for end, _ in automaton.iter(text(stream))), np.int64)
+        marks = np.zeros(len(stream), bool)
+        marks[ends - window + 1] = True
+        begins, ends = _runs(K.covered(marks, window, len(stream)))
+        begin_of = first[:-1] - first[0] + np.arange(segments.num_rows)
+        row = np.searchsorted(begin_of, begins, side="right") - 1
+        shift = segments["start"].to_numpy()[row] - begin_of[row]
+        spans = np.stack([begins + shift, ends + shift], axis=1).astype(np.int32)
+        owner, count = np.unique(row, return_counts=True)
+        offsets = pa.array(np.r_[0, 2 * np.cumsum(count)].astype(np.int32))
+        return pa.table({"text_key": segments["text_key"].take(pa.array(owner)), "spans": pa.ListArray.from_arrays(offsets, pa.array(spans.ravel()))})
 
     return run
 
@@ -230,64 +271,72 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.append(b" ".join([blob[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)]))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-            ["doc_id", "n_words", "n_removed", "kept_text"],
+            ["text_key", "n_words", "n_removed", "kept_text"],
         )
 
 
-def recurring_spans(docs: DataFrame, window: int = WINDOW, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """text_key, spans: for each distinct text with recurring windows, flat lists of word starts and ends to cut."""
-    keyed = small_batches(docs).select("text", text_key(F.col("text")))
-    pairs = keyed.mapInArrow(_census(window), "text_key binary, anchor long, n long")
-    recurring = (
+def recurring_spans(texts: DataFrame, window: int = WINDOW, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """text_key, spans: for each of texts(text_key, text, copies) with recurring windows, lists of word starts and ends to cut."""
+    pairs = texts.select("text", "text_key", "copies").mapInArrow(_census(window), "text_key binary, anchor long, n long, copies long")
+    recurring = staged(
         pairs.groupBy("anchor")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("places"), F.sum(F.col("n") * F.col("copies")).alias("n"))
         .filter("n >= 2")
-        .select("anchor", F.ceil(F.col("n") / shard_rows).cast("int").alias("salts"))
+        .select("anchor", "places", F.ceil(F.col("places") / shard_rows).cast("int").alias("salts")),
+        "anchors",
     )
+    shards = max(1, -(-(recurring.agg(F.sum("places")).first()[0] or 0) // shard_rows))
     lists = (
         pairs.select("text_key", "anchor")
-        .join(recurring, "anchor")
+        .join(recurring.drop("places"), "anchor")
         .groupBy("text_key")
         .agg(F.collect_set(F.struct("anchor", "salts")).alias("known"))
     )
-    texts = keyed.groupBy("text_key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    segments = staged(
+    shard = lambda salt: F.pmod(F.xxhash64("anchor", salt), F.lit(shards)).alias("shard")
+    segments = (
         texts.join(lists, "text_key")
         .select("text_key", "text", "copies", "known")
-        .mapInArrow(_segments(window), "text_key binary, copies long, anchor long, salts int, start int, segment string"),
-        "segments",
+        .mapInArrow(_segments(window), "text_key binary, copies long, anchor long, salts int, start int, segment string")
     )
-    shards = max(1, -(-segments.count() // shard_rows))
-    confirmed = (
-        segments.select("anchor", "salts", "copies", "segment")
+    segments = bucketed(segments.select("*", shard(F.pmod(F.xxhash64("text_key", "start"), F.col("salts")))), "segments", "shard")
+    every_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - F.lit(1).cast("long"))).alias("salt")
+    across = (
+        segments.filter("salts > 1")
+        .select("anchor", "salts", "copies", "segment")
         .mapInArrow(_confirm(window), "anchor long, salts int, a long, b long, n long")
         .groupBy("anchor", "salts", "a", "b")
         .agg(F.sum("n").alias("n"))
         .filter("n >= 2")
+        .select("anchor", "a", "b", every_salt)
+        .select(shard(F.col("salt")), "a", "b")
     )
-    shard = F.pmod(F.xxhash64("anchor", "salt"), F.lit(shards)).alias("shard")
-    left = segments.withColumn("salt", F.pmod(F.xxhash64("text_key"), F.col("salts"))).select(shard, "text_key", "start", "segment")
-    right = confirmed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - F.lit(1).cast("long")))).select(shard, "a", "b")
-    located = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(_locate(window), "text_key binary, spans array<int>")
+    by_shard = segments.groupBy("shard")
+    passages = staged(by_shard.cogroup(across.groupBy("shard")).applyInArrow(_passages(window), "anchor long, salts int, passage string"), "passages")
+    wide = passages.filter("salts > 1").distinct()
+    dealt = passages.filter("salts = 1").union(wide).select("anchor", "passage", every_salt).select(shard(F.col("salt")), "passage")
+    located = by_shard.cogroup(dealt.groupBy("shard")).applyInArrow(_locate(window), "text_key binary, spans array<int>")
     return located.groupBy("text_key").agg(F.collect_list("spans").alias("spans"))
 
 
+def cut_texts(docs: DataFrame, window: int = WINDOW, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """text_key, n_words, n_removed, kept_text of every distinct text of docs(text)."""
+    keyed = small_batches(docs).select("text", text_key(F.col("text")))
+    texts = bucketed(keyed.groupBy("text_key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "texts", "text_key")
+    spans = recurring_spans(texts, window, shard_rows)
+    return texts.join(spans, "text_key", "left").select("text_key", "text", "spans").mapInArrow(_cut, "text_key binary, n_words long, n_removed long, kept_text string")
+
+
 def remove_recurring(docs: DataFrame, window: int = WINDOW, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: documents without the words of windows that occur elsewhere too."""
-    spans = recurring_spans(docs, window, shard_rows)
-    keyed = docs.select("doc_id", "text", text_key(F.col("text")))
-    kind = dict(docs.dtypes)["doc_id"]
-    return (
-        keyed.join(spans, "text_key", "left")
-        .select("doc_id", "text", "spans")
-        .mapInArrow(_cut, f"doc_id {kind}, n_words long, n_removed long, kept_text string")
-    )
+    found = cut_texts(docs, window, shard_rows)
+    return docs.select("doc_id", text_key(F.col("text"))).join(found, "text_key").drop("text_key")
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
-    cut = remove_recurring(table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    docs = table(spark, sf_dir, "documents")
+    found = cut_texts(docs).select("text_key", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return docs.select("doc_id", text_key(F.col("text"))).join(found, "text_key").drop("text_key")
 
 
 def brute_force(texts: list[str | None], window: int = WINDOW) -> list[tuple[int, int, str]]:
