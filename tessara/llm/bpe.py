@@ -7,10 +7,14 @@ merges.  Words stay cached between slices, in bounded number.  Decoding joins
 (document, position, id) rows to the vocabulary and aggregates the bytes in
 order.
 
-Long words save steps: where no merge that takes the new token has a smaller
-rank, contracting every non-overlapping occurrence of the minimum pair at once,
-from the left, gives what contracting them one by one gives.  The merge table
-says where that holds, and elsewhere only the leftmost is contracted.
+Long words save steps by contracting many pairs at once.  A pair may go ahead of
+its turn if its rank is the least among all pairs as near as the longest token
+of that rank or less could reach, and if its token makes no pair of a smaller
+rank with its neighbours or itself: contracting one by one, nothing could take
+a part of it before its turn, nor would anything done before its turn see it.  Pairs of its rank to its left
+go before it, so these must make no pair of a smaller rank either.  Of overlapping pairs of one
+rank every other goes, from the left.  The leftmost minimum of the whole word
+always goes.
 
 Defined cases: null text is empty and has no tokens; special tokens are
 ordinary text; repeated rows stay; ids that the vocabulary lacks raise
@@ -58,12 +62,18 @@ WITH RECURSIVE state(word, toks) USING KEY (word) AS (
   SELECT word, toks FROM fresh
   UNION ALL
   (WITH rows AS (SELECT word, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM state),
-  pairs AS (SELECT word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS next FROM rows),
-  ranked AS (SELECT p.*, m.rank, m.safe, min(m.rank) OVER (PARTITION BY word) AS best FROM pairs p LEFT JOIN merges m ON m.pair = (p.tok << 32 | p.next)),
-  active AS (SELECT *, rank = best AS hit FROM ranked WHERE best IS NOT NULL),
-  runs AS (SELECT *, pos - row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS run, min(CASE WHEN hit THEN pos END) OVER (PARTITION BY word) AS leftmost FROM active),
-  marked AS (SELECT *, hit AND (CASE WHEN safe THEN (row_number() OVER (PARTITION BY word, hit, run ORDER BY pos)) % 2 = 1 ELSE pos = leftmost END) AS merge FROM runs),
-  folded AS (SELECT word, pos, CASE WHEN merge THEN best ELSE tok END AS tok, coalesce(lag(merge) OVER (PARTITION BY word ORDER BY pos), FALSE) AS gone FROM marked)
+  pairs AS (SELECT word, pos, tok, lag(tok) OVER place AS left, lead(tok) OVER place AS next, lead(tok, 2) OVER place AS right FROM rows WINDOW place AS (PARTITION BY word ORDER BY pos)),
+  ranked AS (SELECT p.*, coalesce(m.rank, 4294967295) AS rank, coalesce(r.reach, 0) + 1 AS reach,
+    m.calm AND coalesce(x.rank > m.rank, TRUE) AND coalesce(y.rank > m.rank, TRUE) AS free
+    FROM pairs p LEFT JOIN merges m ON m.pair = (p.tok << 32 | p.next) LEFT JOIN reaches r ON r.rank = m.rank
+    LEFT JOIN merges x ON x.pair = (p.left << 32 | m.rank) LEFT JOIN merges y ON y.pair = (m.rank << 32 | p.right)),
+  near AS (SELECT *, min(rank) OVER (PARTITION BY word) AS best, lag(rank) OVER (PARTITION BY word ORDER BY pos) AS before,
+    coalesce(free, FALSE) AND rank = min(rank) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN reach PRECEDING AND reach FOLLOWING)
+      AND rank < coalesce(min(CASE WHEN NOT free THEN rank END) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN reach PRECEDING AND 1 PRECEDING), 4294967296) AS hit FROM ranked),
+  runs AS (SELECT *, pos - row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS run, min(CASE WHEN rank = best THEN pos END) OVER (PARTITION BY word) AS leftmost FROM near WHERE best < 4294967295),
+  marked AS (SELECT *, pos = leftmost OR (hit AND first_value(before IS DISTINCT FROM rank) OVER same AND (row_number() OVER same) % 2 = 1) AS merge FROM runs
+    WINDOW same AS (PARTITION BY word, hit, run ORDER BY pos)),
+  folded AS (SELECT word, pos, CASE WHEN merge THEN rank ELSE tok END AS tok, coalesce(lag(merge) OVER (PARTITION BY word ORDER BY pos), FALSE) AS gone FROM marked)
   SELECT word, list(tok ORDER BY pos) FROM folded WHERE NOT gone GROUP BY word)
 )
 SELECT word, toks FROM state
@@ -93,16 +103,21 @@ class Codec:
                     a.append(x)
                     b.append(y)
                     rank.append(r)
-        least: dict[int, int] = {}  # of a token: the smallest rank that merging it further gives
-        for x, y, r in zip(a, b, rank, strict=True):
-            least[x], least[y] = min(r, least.get(x, r)), min(r, least.get(y, r))
+        twins = {x: r for x, y, r in zip(a, b, rank, strict=True) if x == y}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "preserve_insertion_order": False})
-        merges = pa.table({"pair": np.array(a, np.int64) << 32 | np.array(b, np.int64), "rank": rank, "safe": [least.get(r, r + 1) > r for r in rank]})
+        merges = pa.table({"pair": np.array(a, np.int64) << 32 | np.array(b, np.int64), "rank": rank, "calm": [twins.get(r, r + 1) > r for r in rank]})
         vocabulary = pa.table({"id": list(ranks.values()), "hex": [t.hex() for t in ranks]})
+        by_rank = sorted((r, t) for t, r in ranks.items())
+        self.ranks, self.lengths = np.array([r for r, _ in by_rank], np.int64), np.array([len(t) for _, t in by_rank], np.int64)
+        self.used = np.zeros((len(by_rank), 4), np.uint64)  # the bytes of each token, as a set of 256 bits
+        for i, (_, t) in enumerate(by_rank):
+            bits = sum(1 << x for x in set(t))
+            self.used[i] = [bits >> 64 * k & (1 << 64) - 1 for k in range(4)]
         for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
+        self.given: set[str] = set()
         self._forget()
 
     def _forget(self) -> None:
@@ -126,6 +141,8 @@ class Codec:
             if group:
                 data = np.frombuffer(b"".join([coded[i] for i in group]), np.uint8)
                 offsets = np.r_[0, np.cumsum([len(coded[i]) for i in group])]
+                if sql is _ENCODE_LONG:
+                    self._reach(coded[group[0]])
                 toks = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(self.byte_ids[data]))
                 out = self._query(sql, "fresh", pa.table({"word": pa.array(group, pa.int64()), "toks": toks}))
                 at = out["word"].to_numpy()
@@ -139,6 +156,16 @@ class Codec:
         self.flat = np.concatenate([self.flat, *found]).astype(np.uint32)
         self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum([len(x) for x in found])]
 
+    def _reach(self, word: bytes) -> None:
+        """Tell queries the longest token up to each rank that the bytes of word could make."""
+        bits = sum(1 << x for x in set(word))
+        other = np.array([~(bits >> 64 * k) & (1 << 64) - 1 for k in range(4)], np.uint64)
+        longest = np.maximum.accumulate(np.where((self.used & other).any(axis=1), 0, self.lengths))
+        if "reaches" in self.given:
+            self.db.unregister("reaches")
+        self.db.register("reaches", pa.table({"rank": self.ranks, "reach": longest}))
+        self.given.add("reaches")
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids begin (and the last end)."""
         if len(self.words) > self.cache_words:

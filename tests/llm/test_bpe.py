@@ -77,3 +77,43 @@ def test_empty(spark):
     assert bpe.round_trip(df).collect() == [] and bpe.encode(df).collect() == []
     nulls = spark.createDataFrame([(None, None)], "doc_id long, text string")
     assert bpe.decode(bpe.encode(nulls).withColumn("ids", F.lit(None).cast("array<int>"))).first().decoded == b""
+
+
+def contract(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """One leftmost pair of minimum rank after another."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while True:
+        found = [(ranks[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_long_words_of_odd_vocabularies():
+    """Merge tables in any order of ranks, where a merge may be followed by one of a smaller rank."""
+    r = random.Random(5)
+    for trial in range(60):
+        letters = "ab" if trial % 3 else "abcd"
+        tokens = {"".join(r.choice(letters) for _ in range(r.randint(2, 5 + trial % 7))).encode() for _ in range(r.choice([3, 8, 30, 90]))}
+        order = list(range(256, 256 + len(tokens)))
+        r.shuffle(order)
+        ranks = {bytes([i]): i for i in range(256)} | dict(zip(sorted(tokens), order, strict=True))
+        codec = bpe.Codec(ranks, r"\S+")
+        for _ in range(4):
+            word = "".join(r.choice(letters) for _ in range(r.randint(65, 300)))
+            if r.random() < 0.3:
+                word = (word[: r.randint(1, 9)] * 300)[:300]
+            assert codec.encode([word])[0].tolist() == contract(word.encode(), ranks), (trial, word)
+
+
+def test_long_random_letters_are_fast(oracle, ranks):
+    import time
+
+    r = random.Random(7)
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    for n, limit in ((20_000, 10), (100_000, 50)):
+        text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        start = time.time()
+        assert codec.encode([text])[0].tolist() == oracle.encode_ordinary(text)
+        assert time.time() - start < limit
