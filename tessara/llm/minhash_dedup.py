@@ -10,7 +10,8 @@
 4. Survivors are verified on full shingle sets, made anew from their texts and
    compared word by word, not by hashes.  Texts are what travels: they compress,
    and hashes of their shingles do not.
-5. Each node first meets the bucket leader that it shares most bands with.
+5. Each node first meets one bucket leader, that it shares most bands with.  A
+   bucket is led by the member with the most company over all its buckets.
    After that only members of different components are compared, in blocks of
    bounded size: one pass over signatures names the members with a possible
    partner, and only these bring their texts to a second pass, which gives back
@@ -312,11 +313,15 @@ def grouped(docs: DataFrame, n: int = 5, percent: int = 80, miss: float = 1e-6)
     )
     signs = nodes.select("node", "sign")
     members = signs.mapInArrow(_bands, "band long, node long")
-    shared = members.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1").drop("n")
+    shared = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     members = staged(members.join(shared, "band"), "members")
+    # A bucket is led by its most central member: the one with the most company over all its buckets.
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    central = members.join(company, "node").groupBy("band").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("leader"))
+    led = members.select("band", "node").join(central, "band")
 
     # A node meets the leader that it shares most bands with.
-    counted = members.filter("node <> leader").repartition("node").groupBy("node", "leader").agg(F.count("*").alias("n"))
+    counted = led.filter("node <> leader").repartition("node").groupBy("node", "leader").agg(F.count("*").alias("n"))
     pairs = counted.groupBy(F.col("node").alias("b")).agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("a"))
     survivors = pairs.join(signs.toDF("b", "y"), "b").join(signs.toDF("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(_prune(floors), "a long, b long")
     involved = members.select("node").distinct().join(nodes.select("node", "text_key"), "node")
