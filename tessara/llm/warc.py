@@ -1,17 +1,25 @@
 """WARC archives with revisit resolution.
 
-Headers (page_id, digest, size) are shuffled by payload digest to elect each
-payload's original, the smallest page_id; records with that payload join it and
-become revisit records without a payload.  Archives are written by Spark's text
-writer: the record separator of WARC is its line separator, so the files are
-plain WARC, and they live in any store that Spark reaches.  Reading parses
-record by record by Content-Length and joins revisits back to their originals.
+Headers (page_id, digest) are shuffled by payload digest to elect each payload's
+original, the smallest page_id; records with that payload join it and become
+revisit records without a payload.  The headers of revisits are written as a
+table, so that its true size decides how pages learn of them: below the
+broadcast threshold payloads are not shuffled at all, above it once.
+
+Archives are written by Spark's text writer: the record separator of WARC is its
+line separator, so the files are plain WARC, and they live in any store that
+Spark reaches.  Reading parses record by record by Content-Length, from plain
+files and from gzip files of one or many members, and joins revisits back to
+their originals.
 
 Defined cases: null html is an empty payload; payloads under `least` bytes are
 always responses; rows that share the smallest page_id of a payload are all
 responses; a null page_id is a revisit if some other row has an id, else a
 response; a null url becomes urn:unknown; line breaks in urls are escaped; an
-empty table gives empty archives; other columns are ignored.
+empty table gives empty archives; other columns are ignored.  In reading, a
+revisit whose original is in none of the archives stays, with a null size and
+the digest that its own header states; a torn or foreign record ends its
+archive and becomes one row of record_type "torn", whose other columns are null.
 """
 
 from __future__ import annotations
@@ -24,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage_path, staged, table
+from .common import small_batches, stage_path, staged, table
 
 CRLF = "\r\n"
 LEAST = 100
@@ -39,25 +47,16 @@ def _record_id(page_id, digest):
 
 
 def with_originals(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """pages with payload, size, digest, record_type, original (the page_id to refer to) and its record ids."""
+    """pages with payload, size, digest, record_type and original (the page_id that a revisit refers to)."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("size"), F.sha2(payload, 256).alias("digest"))
-    originals = (
-        p.filter(F.col("size") >= least)
-        .groupBy("digest")
-        .agg(F.min("page_id").alias("original"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .select(F.col("digest").alias("key"), "original")
-    )
-    # Short payloads never meet an original; their keys are scattered.
-    key = F.when(F.col("size") >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.col("digest"))))
-    revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    return (
-        p.withColumn("key", key)
-        .join(originals, "key", "left")
-        .withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
-        .withColumn("original", F.when(revisit, F.col("original")))
-    )
+    headers = p.filter(F.col("size") >= least).select("page_id", "digest")
+    originals = headers.groupBy("digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1 and original is not null").drop("n")
+    revisits = headers.distinct().join(originals, "digest").filter(~F.col("page_id").eqNullSafe(F.col("original")))
+    revisits = staged(revisits.toDF("same_digest", "same_id", "original"), "revisits")
+    same = (F.col("digest") == F.col("same_digest")) & F.col("page_id").eqNullSafe(F.col("same_id"))
+    record_type = F.when(F.col("original").isNotNull(), "revisit").otherwise("response")
+    return p.join(revisits, same, "left").drop("same_digest", "same_id").withColumn("record_type", record_type)
 
 
 def records(resolved: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -88,23 +87,41 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, per_file: in
     records(with_originals(pages, least)).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
+def _unzipped(content: bytes) -> tuple[bytes, bool]:
+    """What all members of a gzip file hold, and whether one of them is torn."""
+    out = []
+    while content:
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(content) + member.flush())
+        except zlib.error:
+            return b"".join(out), True
+        if not member.eof:
+            return b"".join(out), True
+        content = member.unused_data.lstrip(b"\0")  # zeros may pad a file
+    return b"".join(out), False
+
+
 def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and payload (after the HTTP header) of every record of a gzip or plain archive."""
-    if content[:2] == b"\x1f\x8b":
-        content = zlib.decompressobj(31).decompress(content)
+    """Header fields and payload (after the HTTP header) of every record of a gzip or plain archive; ValueError where one is torn."""
+    content, torn = _unzipped(content) if content[:2] == b"\x1f\x8b" else (content, False)
     at = 0
     while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        lines = content[at:end].decode().split(CRLF)
-        if not lines[0].startswith("WARC/"):
+        end = content.find(b"\r\n\r\n", at)
+        lines = content[at:end].decode(errors="replace").split(CRLF)
+        fields = dict(x.split(":", 1) for x in lines[1:] if ":" in x)
+        size = fields.get("Content-Length", "").strip()
+        if end < 0 or not lines[0].startswith("WARC/") or not size.isdigit():
             raise ValueError(f"no WARC record at byte {at}")
-        fields = dict(x.split(": ", 1) for x in lines[1:])
-        start, size = end + 4, int(fields["Content-Length"])
-        block = content[start : start + size]
-        if len(block) != size or content[start + size : start + size + 4] != b"\r\n\r\n":
+        start, stop = end + 4, end + 4 + int(size)
+        if content[stop : stop + 4] != b"\r\n\r\n":
             raise ValueError(f"torn WARC record at byte {at}")
-        yield fields, block[block.index(b"\r\n\r\n") + 4 :]
-        at = start + size + 4
+        block = content[start:stop]
+        head = block.find(b"\r\n\r\n")
+        yield {k: v.strip() for k, v in fields.items()}, block[head + 4 :] if head >= 0 else b""
+        at = stop + 4
+    if torn:
+        raise ValueError("torn gzip member")
 
 
 _PARSED = "page_id string, record_id string, record_type string, payload_bytes long, payload_digest string, target string, refers_to string"
@@ -116,20 +133,27 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
             rows = []
-            for f, payload in parse_archive(content.as_py()):
-                original = f["WARC-Type"] == "response"
-                rows.append((f.get("Page-Id"), f["WARC-Record-ID"], f["WARC-Type"], len(payload) if original else None, hashlib.sha256(payload).hexdigest() if original else None, f.get("WARC-Refers-To"), f.get("Refers-To-Page-Id")))
+            try:
+                for f, payload in parse_archive(content.as_py()):
+                    if f.get("WARC-Type") not in ("response", "revisit"):
+                        continue
+                    original = f["WARC-Type"] == "response"
+                    digest = hashlib.sha256(payload).hexdigest() if original else f.get("WARC-Payload-Digest", "").removeprefix("sha256:") or None
+                    rows.append((f.get("Page-Id"), f.get("WARC-Record-ID"), f["WARC-Type"], len(payload) if original else None, digest, f.get("WARC-Refers-To"), f.get("Refers-To-Page-Id")))
+            except ValueError:
+                rows.append((None, None, "torn", None, None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(names), kinds, strict=True)], names)
 
 
 def read_archives(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record; revisits take their original's payload."""
-    parsed = staged(spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, _PARSED), "warc-records")
+    parsed = staged(small_batches(spark.read.format("binaryFile").load(path).select("content")).mapInArrow(_parse, _PARSED), "warc-records")
+    revisit = F.col("record_type") == "revisit"
     response = parsed.filter("record_type = 'response'")
-    found = response.select(F.col("record_id").alias("target"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d")).distinct()
-    revisit = parsed.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(found, "target").withColumnsRenamed({"b": "payload_bytes", "d": "payload_digest"})
+    found = response.groupBy(F.col("record_id").alias("target")).agg(F.min("payload_bytes").alias("b"), F.min("payload_digest").alias("d"))
+    resolved = parsed.filter(revisit).join(found, "target", "left").withColumn("payload_bytes", F.col("b")).withColumn("payload_digest", F.coalesce("d", "payload_digest"))
     out = [F.col("page_id").cast(id_type), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type)]
-    return response.select(*out).union(revisit.select(*out))
+    return parsed.filter(~revisit).select(*out).union(resolved.select(*out))
 
 
 def op10_warc_revisits(spark, sf_dir: str) -> DataFrame:
