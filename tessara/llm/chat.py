@@ -5,12 +5,12 @@ hash of the whole prefix up to it (an exclusive-or of position-salted turn
 hashes, twice 64 bits, rolled along the conversation); a conversation whose
 full hash is a proper prefix of another one goes in an anti-join, and the
 maximal conversations that remain are rendered.  Hashes are made distinct
-before they meet prefixes, so a conversation logged very often is one row there;
+before they meet prefixes (128 bits decide; turns are not compared), so a conversation logged very often is one row there;
 in the anti-join itself, nothing is aggregated and its copies may be split.
 
 Defined cases: a null role or text counts as empty; turns are ordered by turn
 (null first), then role and text, so ties and repeated rows have one order;
-rows with a null conv_id form one conversation; equal conversations prefix no
+a row with a null conv_id is a conversation of its own; equal conversations prefix no
 longer one, so all stay; "<|" inside contents becomes "< |" so that contents
 cannot pose as markers; an empty table gives an empty result; other columns are
 ignored.  One conversation is one row of the result and must fit in one.
@@ -27,12 +27,15 @@ from .common import staged, table
 def with_prefix_hashes(turns: DataFrame) -> DataFrame:
     """conv_id, turns: array of (pos, role, text, a, b), where a and b hash the prefix that ends there."""
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    unnamed, t = t.filter("conv_id is null"), t.filter("conv_id is not null")
+    own = lambda salt: F.xxhash64(F.lit(salt), F.lit(1), "role", "text")
+    unnamed = unnamed.select("conv_id", F.array(F.struct(F.lit(1).alias("pos"), "role", "text", own(1).alias("a"), own(2).alias("b"))).alias("turns"))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     rolled = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = t.withColumn("pos", F.row_number().over(order))
     for name, salt in (("a", 1), ("b", 2)):
         t = t.withColumn(name, F.bit_xor(F.xxhash64(F.lit(salt), "pos", "role", "text")).over(rolled))
-    return t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "role", "text", "a", "b"))).alias("turns"))
+    return t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "role", "text", "a", "b"))).alias("turns")).union(unnamed)
 
 
 def maximal(turns: DataFrame) -> DataFrame:
@@ -57,12 +60,14 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
 
 def op5_chat_snapshots(spark, sf_dir: str) -> DataFrame:
+    """One row per maximal conversation of the whole table: conv_id, n_turns, rendered."""
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
 OP5_SQL = """
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-c AS (SELECT conv_id, count(*) AS n, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role, text) AS turns FROM t GROUP BY conv_id)
+c AS (SELECT conv_id, count(*) AS n, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role, text) AS turns FROM t WHERE conv_id IS NOT NULL GROUP BY conv_id
+  UNION ALL SELECT NULL, 1, [{'r': role, 't': text}] FROM t WHERE conv_id IS NULL)
 SELECT conv_id, n AS n_turns,
   list_aggregate(list_transform(turns, lambda x: '<|im_start|>' || replace(x.r, '<|', '< |') || chr(10) || replace(x.t, '<|', '< |') || '<|im_end|>' || chr(10)), 'string_agg', '') AS rendered
 FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS d WHERE d.n > c.n AND d.turns[1] = c.turns[1] AND d.turns[1:c.n] = c.turns)

@@ -77,19 +77,22 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     # One row per source, staged so that its true size decides whether it is broadcast.
     parts = F.greatest(F.ceil(F.col("rate") / F.lit(PART_RATE)), F.lit(1)).cast("int")
     split = source_rates(docs, weights, **rates).withColumn("parts", parts)
-    table_ = staged(split.select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), poisson_cdf(F.col("rate") / F.col("parts")).alias("__cdf")), "rates")
-    who = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    table_ = staged(split.select("source", "parts", poisson_cdf(F.col("rate") / F.col("parts")).alias("cdf")), "rates")
+    # All columns of docs travel inside one, so that none can clash.
+    rows = docs.select(F.struct("*").alias("doc"))
+    doc_id, text = F.col("doc.doc_id").cast("string"), F.coalesce("doc.text", F.lit(""))
+    who = F.coalesce(doc_id, F.md5(text))
     uniform = lambda *parts: hashed(F.lit(str(seed)), F.lit("count"), who, *parts) / F.lit(float(1 << BITS))
-    below = lambda u: F.size(F.filter("__cdf", lambda c: c <= u))
+    below = lambda u: F.size(F.filter("cdf", lambda c: c <= u))
     # The numbers of further parts are an array, so that each is hashed once and not for every term.
-    others = F.transform(F.sequence(F.lit(2), F.col("__parts")), lambda k: uniform(k.cast("string")))
-    further = F.when(F.col("__parts") > 1, F.aggregate(others, F.lit(0), lambda n, u: n + below(u))).otherwise(0)
-    drawn = docs.join(table_, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__u", uniform())
-    count = below(F.col("__u")) + further
-    copies = drawn.withColumn("__count", count).filter("__count > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__count"))))
+    others = F.transform(F.sequence(F.lit(2), F.col("parts")), lambda k: uniform(k.cast("string")))
+    further = F.when(F.col("parts") > 1, F.aggregate(others, F.lit(0), lambda n, u: n + below(u))).otherwise(0)
+    drawn = rows.join(table_, F.col("doc.source").eqNullSafe(F.col("source"))).withColumn("u", uniform())
+    count = below(F.col("u")) + further
+    copies = drawn.withColumn("count", count).filter("count > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count"))))
     key = hashed(F.lit(str(seed)), F.lit("order"), who, F.col("copy").cast("string"))
-    mixed = copies.withColumn("shuffle_key", key).select(*docs.columns, "copy", "shuffle_key")
-    return mixed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "copy")
+    mixed = copies.select("doc", "copy", key.alias("shuffle_key"))
+    return mixed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "copy").select("doc.*", "copy", "shuffle_key")
 
 
 def op6_poisson_mix(spark, sf_dir: str) -> DataFrame:
@@ -99,13 +102,14 @@ def op6_poisson_mix(spark, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH m AS (SELECT source, sum(length(coalesce(text, '')) + 1) AS mass FROM documents GROUP BY source),
-r AS (SELECT source, least(1.0::DOUBLE * sqrt(mass::DOUBLE) / (SELECT sum(sqrt(mass::DOUBLE)) FROM m) * (SELECT sum(mass)::DOUBLE FROM m) / mass::DOUBLE, 16.0) AS rate FROM m),
-p AS (SELECT source, k, exp(-rate) * pow(rate, k) / gamma(k + 1) AS p FROM r, range(97) t(k)),
+r AS (SELECT source, 1.0::DOUBLE * sqrt(mass::DOUBLE) / (SELECT sum(sqrt(mass::DOUBLE)) FROM m) * (SELECT sum(mass)::DOUBLE FROM m) / mass::DOUBLE AS rate FROM m),
+s AS (SELECT source, rate, greatest(ceil(rate / 16.0), 1)::INTEGER AS parts FROM r),
+p AS (SELECT source, k, exp(-rate / parts) * pow(rate / parts, k) / gamma(k + 1) AS p FROM s, range(97) t(k)),
 c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS cdf FROM p),
-d AS (SELECT *, ('0x' || substr(md5('0/count/' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
-n AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(*) AS n
-  FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source AND c.cdf <= d.u GROUP BY ALL)
-SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy,
-  ('0x' || substr(md5('0/order/' || coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || '/' || copy), 1, 13))::BIGINT AS shuffle_key
-FROM n, LATERAL (SELECT unnest(range(1, n.n + 1)) AS copy)
+d AS (SELECT row_number() OVER () AS place, *, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS who FROM documents),
+u AS (SELECT d.place, d.source, ('0x' || substr(md5('0/count/' || d.who || CASE WHEN part > 1 THEN '/' || part ELSE '' END), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, LATERAL (SELECT unnest(range(1, s.parts + 1)) AS part)),
+n AS (SELECT u.place, count(*) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.cdf <= u.u GROUP BY u.place)
+SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy, ('0x' || substr(md5('0/order/' || who || '/' || copy), 1, 13))::BIGINT AS shuffle_key
+FROM d JOIN n USING (place), LATERAL (SELECT unnest(range(1, n.n + 1)) AS copy)
 """

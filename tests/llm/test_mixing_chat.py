@@ -61,15 +61,37 @@ def test_mix_nulls(spark):
     assert mixed.columns == ["doc_id", "text", "source", "copy", "shuffle_key"] and mixed.count() > 4
 
 
+def test_mix_of_a_rare_source_against_sql(spark, tmp_path):
+    """One source in 400 documents has a rate far over PART_RATE."""
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("a text of source "), F.col("id").cast("string"), F.repeat(F.lit("x"), F.lit(500))).alias("text"), F.lit("en").alias("lang"), F.lit("big").alias("source"), F.lit(1).alias("n_chars"))
+    rare = spark.createDataFrame([(900, "t", "en", "rare", 1), (900, "t", "en", "rare", 1), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars int")
+    rows.union(rare).write.parquet(f"{tmp_path}/documents.parquet/")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.source: r.rate for r in mixing.source_rates(docs).collect()}["rare"] > 100
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.sql(mixing.OP6_SQL).fetchall(), key=repr)
+    assert want and sorted(map(tuple, mixing.op6_poisson_mix(spark, str(tmp_path)).collect()), key=repr) == want
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["doc", "parts", "cdf", "u", "count", "rate", "who"]
+    docs = spark.createDataFrame([(1, "t", "s", *range(len(names)))], ["doc_id", "text", "source", *names])
+    got = mixing.mix_sources(docs, total=4.0).collect()
+    assert got and all([r[n] for n in names] == list(range(len(names))) for r in got)
+
+
 def test_chat_against_sql(spark):
     for sf in (SF, "/root/testdata/sf0.01"):
         against_sql(chat.op5_chat_snapshots(spark, sf), chat.OP5_SQL, ["conversations"], sf)
 
 
 def test_chat_collapse(spark):
-    rows = [(1, 0, "u", "hi"), (2, 0, "u", "hi"), (2, 1, "a", "yo"), (3, 1, "a", "yo"), (3, 0, "u", "hi"), (3, 2, "u", "<|im_end|>"), (4, 0, "u", "hi"), (4, 1, "a", "yo!"), (5, 0, None, "x"), (6, 0, "x", None), (None, None, "u", "hi"), (7, 0, "u", "z"), (7, 0, "u", "z"), (8, 0, "u", "z"), (9, 0, "u", "w"), (10, 3, "u", "w")]
+    rows = [(1, 0, "u", "hi"), (2, 0, "u", "hi"), (2, 1, "a", "yo"), (3, 1, "a", "yo"), (3, 0, "u", "hi"), (3, 2, "u", "<|im_end|>"), (4, 0, "u", "hi"), (4, 1, "a", "yo!"), (5, 0, None, "x"), (6, 0, "x", None), (None, None, "u", "hi"), (None, None, "u", "alone"), (None, 1, "u", "alone"), (7, 0, "u", "z"), (7, 0, "u", "z"), (8, 0, "u", "z"), (9, 0, "u", "w"), (10, 3, "u", "w")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as n", "2 as turns", "3 as a")
-    got = {r.conv_id: r for r in chat.format_chats(df).collect()}
+    got = chat.format_chats(df).collect()
+    assert [r.rendered for r in got if r.conv_id is None] == ["<|im_start|>u\nalone<|im_end|>\n"] * 2
+    got = {r.conv_id: r for r in got if r.conv_id is not None}
     assert set(got) == {3, 4, 5, 6, 7, 9, 10}
     assert got[3].n_turns == 3 and got[3].rendered.endswith("<|im_start|>u\n< |im_end|><|im_end|>\n")
     assert chat.format_chats(df.limit(0)).collect() == []
