@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import os
 import random
+import string
 
 import pyarrow.parquet as pq
 import pytest
@@ -39,14 +41,39 @@ def test_query_on_documents(spark):
     assert sum(r.n_assign + r.n_access + r.n_hex for r in got.values()) > 10
 
 
-def test_markov_separates(spark, model):
+def rate(spark, model, tokens):
+    df = spark.createDataFrame([(t,) for t in tokens], "token string")
+    found = F.size(F.filter("spans", lambda s: s.kind == 3)) > 0
+    return S.scan(df.withColumnRenamed("token", "text"), model).select(F.avg(found.cast("int"))).first()[0]
+
+
+def test_markov_recall_by_length(spark, model):
+    """Random strings that no base pattern covers, alone and joined to long ordinary words."""
     r = random.Random(1)
-    random_ = [base64.b64encode(hashlib.sha512(str(i).encode()).digest())[: r.randint(28, 44)].decode() for i in range(200)]
+    b62, hexa = string.ascii_letters + string.digits, "0123456789abcdef"
+    make = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    found = {(k, n): rate(spark, model, [make(a, n) for _ in range(300)]) for k, a in (("b62", b62), ("hex", hexa), ("url", b62 + "_-")) for n in (8, 12, 16, 19, 24, 31)}
+    joined = {pre: rate(spark, model, [pre + make(b62, 20) for _ in range(300)]) for pre in ("application-configuration-session-credential=", "/usr/local/share/applications/internationalization/configuration/department/")}
+    print(found, joined)
+    assert all(p > 0.8 for (_, n), p in found.items() if n >= 12) and all(p > 0.9 for (_, n), p in found.items() if n >= 16)
+    assert all(p > 0.5 for p in found.values()) and min(joined.values()) > 0.95
+
+
+def test_markov_leaves_ordinary_names_alone(spark, model):
+    """Words of documents joined to names, and identifiers of the standard library, none of which is a labelled sample as it stands."""
+    import ast
+    import functools
+    import json as json_
+    import unittest
+
+    r = random.Random(2)
     vocab = [w for row in pq.read_table(f"{SF}/documents.parquet").slice(500).to_pylist() for w in (row["text"] or "").split() if w.isascii() and w.isalpha()]
-    plain = ["_".join(r.choice(vocab) for _ in range(r.randint(4, 8))) for _ in range(200)]
-    df = spark.createDataFrame([(t, 1) for t in random_] + [(t, 0) for t in plain], "token string, label int")
-    hit = {r.label: r.n for r in df.filter(S.log_ratio(F.col("token"), model) > S.LOG_ODDS).groupBy("label").agg(F.count("*").alias("n")).collect()}
-    assert hit[1] >= 190 and hit.get(0, 0) <= 2
+    plain = ["_".join(r.choice(vocab) for _ in range(r.randint(4, 8))) for _ in range(500)]
+    names = {n for m in (ast, functools, json_, os, random, hashlib, base64, string, unittest, unittest.TestCase, pytest, spark, spark.range(1), F) for n in dir(m) if len(n) >= 8}
+    wrong = {"words": rate(spark, model, plain), "names": rate(spark, model, sorted(names))}
+    print(len(names), wrong)
+    wrong["numbers"] = rate(spark, model, ["".join(r.choice(string.digits) for _ in range(r.randint(8, 20))) for _ in range(500)])
+    assert len(names) > 800 and wrong["words"] < 0.01 and wrong["names"] < 0.04 and wrong["numbers"] < 0.05
 
 
 def test_spans_and_redaction(spark, model):
@@ -56,3 +83,20 @@ def test_spans_and_redaction(spark, model):
     got = S.scan(df, model).select("doc_id", S.listing(F.col("spans")).alias("s"), S.redact(F.coalesce("text", F.lit("")), F.col("spans")).alias("t")).orderBy("doc_id").collect()
     assert [x.split(":")[0] for x in got[0].s.split(",")] == ["assign", "markov", "hex"]
     assert got[0].t == "é [SECRET] then [SECRET] and [SECRET] end" and got[1].t == "nothing here" and got[2].t == ""
+
+
+def test_hidden_and_neighbouring_secrets(spark, model):
+    key = base64.b64encode(hashlib.sha512(b"z").digest())[:30].decode().replace("+", "a").replace("/", "b")
+    texts = [f"path/of/ordinary/words/{key}/and/more/words", f"{'0a' * 20}_{key}", f"{key}\n{key}", f"token=abcdefgh1 {key}", "😀é " + key, key, key]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.s for r in S.scan(df, model).select("doc_id", S.listing(F.filter("spans", lambda s: s.kind == 3)).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        spans = [tuple(map(int, x.split(":")[1:])) for x in got[i].split(",")]
+        assert [t[a:b] for a, b in spans] == [key] * t.count(key), (t, spans)
+
+
+def test_long_texts_and_many_secrets(spark, model):
+    text = " ".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(3000)) + " ordinary words " * 20000
+    df = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    got = S.scan(df, model).select(F.size("base").alias("n"), S.redact(F.coalesce("text", F.lit("")), F.col("spans")).alias("t")).collect()
+    assert [(r.n, r.t.count("[SECRET]"), len(r.t)) for r in got] == [(3000, 3000, len(text) - 3000 * 56)] * 2
