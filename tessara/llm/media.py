@@ -1,8 +1,13 @@
 """Media columns: Netpbm and BMP decoded to numpy, area-resized by integral images, tiled as NPY with difference hashes.
 
+A payload of text becomes an image, is decoded, and its NPY tiles are written to
+a table in the shared folder; what is reported comes from the tiles as read back.
+
 Defined cases: null and empty payloads are one tile of padding; any bytes round
 trip; equal payloads give equal values; an empty table gives an empty result;
-other columns are ignored.  A malformed or truncated image raises ValueError.
+other columns are ignored, and columns of images keep their names only where no
+new one has that name.  decode() raises ValueError for a malformed or truncated
+image; media_columns() gives it nulls and says why in `error`.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import small_batches, table
+from .common import small_batches, staged, table
 
 UNIT, WIDTH, TILE = 576, 24, 24
 
@@ -55,6 +60,8 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
         fields.append(int(m[1]))
         at = m.end()
     w, h, most = (*fields, 1)[:3]
+    if not (0 < w < 1 << 31 and 0 < h < 1 << 31 and 0 < most < 1 << 16):
+        raise ValueError(f"Netpbm of {w} x {h}, values up to {most}")
     planes = 3 if kind in (3, 6) else 1
     if kind == 4:
         raw = np.frombuffer(data, np.uint8, offset=at + 1, count=(w + 7) // 8 * h).reshape(h, -1)
@@ -95,7 +102,7 @@ def decode(data: bytes) -> np.ndarray:
             return _decode_bmp(data)
         if data[:1] == b"P" and data[1:2] in (b"1", b"2", b"3", b"4", b"5", b"6"):
             return _decode_netpbm(data)
-    except (struct.error, IndexError) as e:
+    except (struct.error, IndexError, ValueError, OverflowError, MemoryError, TypeError) as e:
         raise ValueError(f"malformed image: {e}") from e
     raise ValueError("neither Netpbm nor BMP")
 
@@ -141,26 +148,32 @@ def untile(data: bytes) -> np.ndarray:
 
 
 def media_columns(images: DataFrame, column: str = "image") -> DataFrame:
-    """Every row of images plus width, height, thumbnail (9x8 area means), difference_hash and tiles (NPY bytes); null stays null."""
-    new_columns = "width int, height int, thumbnail array<double>, difference_hash string, tiles binary"
-    schema = T.StructType([*images.schema.fields, *T.StructType.fromDDL(new_columns).fields])
-    at = images.columns.index(column)
+    """Every row of images plus width, height, thumbnail (9x8 area means), difference_hash, tiles (NPY bytes) and error; null stays null."""
+    new_columns = T.StructType.fromDDL("width int, height int, thumbnail array<double>, difference_hash string, tiles binary, error string")
+    kept = [f for f in images.schema.fields if f.name not in new_columns.names or f.name == column]
+    schema = T.StructType([*kept, *(f for f in new_columns.fields if f.name != column)])
+    at = [f.name for f in kept].index(column)
+
+    def described(value: pa.Scalar) -> dict:
+        data = value.as_py()
+        if data is None:
+            return {}
+        try:
+            p = decode(bytes(data))
+        except ValueError as e:
+            return {"error": str(e)}
+        return {"width": p.shape[1], "height": p.shape[0], "thumbnail": area_resize(grey(p), 8, 9).ravel().tolist(), "difference_hash": difference_hash(p), "tiles": npy_tiles(p)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"width": pa.int32(), "height": pa.int32(), "thumbnail": pa.list_(pa.float64()), "difference_hash": pa.string(), "tiles": pa.binary(), "error": pa.string()}
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                new: list[list] = [[], [], [], [], []]
-                for value in part.column(at):
-                    data = value.as_py()
-                    p = None if data is None else decode(bytes(data))
-                    row = [None] * 5 if p is None else [p.shape[1], p.shape[0], area_resize(grey(p), 8, 9).ravel().tolist(), difference_hash(p), npy_tiles(p)]
-                    for column_, x in zip(new, row, strict=True):
-                        column_.append(x)
-                kinds = [pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, k) for c, k in zip(new, kinds, strict=True))], schema.names)
+                found = [described(v) for v in part.column(at)]
+                new = [pa.array([f.get(name) for f in found], kind) for name, kind in kinds.items() if name != column]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], schema.names)
 
-    return small_batches(images).mapInArrow(run, schema)
+    return small_batches(images).select(*(f"`{f.name}`" for f in kept)).mapInArrow(run, schema)
 
 
 def as_image(payload: bytes) -> bytes:
@@ -169,25 +182,35 @@ def as_image(payload: bytes) -> bytes:
     return encode_pgm(pixels) if len(payload) // UNIT % 2 else encode_bmp(pixels)
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tiles_sha256"]
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, n_bytes, image_sha256 and the NPY tiles of each text."""
     for batch in batches:
         for rows in K.slices(batch.column(1)):
             blob, cut, out = rows.data.tobytes(), rows.offsets.tolist(), []
             for a, b in zip(cut, cut[1:], strict=False):
                 text = blob[a:b]
-                padded = text + b"\xff" * (-len(text) % UNIT if text else UNIT)
-                image = as_image(padded)
-                pixels = decode(image)
-                tiles = npy_tiles(pixels)
-                back = untile(tiles).tobytes()
-                out.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(image), hashlib.sha256(image).hexdigest(), difference_hash(pixels), hashlib.sha256(tiles).hexdigest()))
+                image = as_image(text + b"\xff" * (-len(text) % UNIT if text else UNIT))
+                out.append((len(text), hashlib.sha256(image).hexdigest(), npy_tiles(decode(image))))
             ids = batch.column(0).slice(rows.first, len(rows))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c) for c in zip(*out, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c) for c in zip(*out, strict=True))], ["doc_id", "n_bytes", "image_sha256", "tiles"])
+
+
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "image_sha256"]
+    for batch in batches:
+        out = []
+        for value in batch.column(3):
+            stored = value.as_py()
+            tiles = untile(stored)
+            payload = tiles.tobytes()
+            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(tiles.reshape(-1, WIDTH))))
+        if out:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in zip(*out, strict=True)), batch.column(2)], names)
 
 
 def op9_media_columns(spark, sf_dir: str) -> DataFrame:
-    """One row per document: its bytes stored as an image, decoded, tiled and read back from the tiles."""
+    """One row per document: its bytes as an image, decoded, stored as NPY tiles, and described from the tiles as read back."""
     docs = small_batches(table(spark, sf_dir, "documents")).select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(_digest, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tiles_sha256 string")
+    stored = staged(docs.mapInArrow(_store, f"doc_id {kind}, n_bytes long, image_sha256 string, tiles binary"), "tiles")
+    return small_batches(stored).select("doc_id", "n_bytes", "image_sha256", "tiles").mapInArrow(_read_back, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, image_sha256 string")
