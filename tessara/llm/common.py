@@ -2,37 +2,23 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import own_dir, staged
+
+__all__ = ["bucketed", "labelled", "least_hashed", "small_batches", "stage_path", "staged", "table", "text_key"]
+
 #: Bytes of the Arrow batches that go to Python workers (a longer row goes alone): texts vary too much for a count of rows to bound memory.
 BATCH_BYTES = 4 << 20
 #: What counts as white space between words.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{os.path.join(tempfile.gettempdir(), f'tessara-{os.getuid()}')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back: cuts lineage and survives lost executors."""
-    path = stage_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:

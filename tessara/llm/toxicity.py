@@ -1,9 +1,9 @@
 """Toxicity: a counterfactually regularised logistic classifier.
 
 Features are the presence of words and of their beginnings and ends, hashed.
-For every labelled text that mentions an identity term, a counterfactual with
-the terms of other groups is made, and training adds
-    strength * (score(text) - score(counterfactual))**2
+For every sentence of a labelled text that mentions an identity term, a
+counterfactual with the terms of other groups is made, and training adds
+    strength * (logit(sentence) - logit(counterfactual))**2
 to the loss, so that a group's name alone does not move a score.
 
 Defined cases: null and empty texts get the score of no features; labels that
@@ -54,9 +54,27 @@ def _rows(texts: list[str]) -> K.Rows:
     return K.Rows(np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum([len(d) for d in data])].astype(np.int64), 0)
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """Lower case of A-Z and of the accented Latin letters U+00C0 to U+00DE in UTF-8 bytes."""
+    low = K.lower_ascii(data)
+    second = np.zeros(len(data), bool)
+    second[1:] = data[:-1] == 0xC3
+    second &= (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
+    low[second] += 0x20
+    return low
+
+
+def sentences(rows: K.Rows) -> K.Rows:
+    """The sentences of all rows as rows: they end at a line break, or at . ! or ? before white space."""
+    data = rows.data
+    stop = (data == 46) | (data == 33) | (data == 63)
+    ends = np.flatnonzero((data[:-1] == 10) | (stop[:-1] & K.SPACE[data[1:]])) + 1 if len(data) else np.empty(0, np.int64)
+    return K.Rows(data, np.unique(np.concatenate([rows.offsets, ends])), 0)
+
+
 def features(rows: K.Rows) -> tuple[np.ndarray, np.ndarray]:
     """Row and 64-bit feature of every word, word beginning and word end, repeats included; letters of either case count as one."""
-    low = K.lower_ascii(rows.data)
+    low = lower(rows.data)
     spaced = np.where(_LETTER[low], low, np.uint8(32))
     words = K.find_words(K.Rows(spaced, rows.offsets, rows.first))
     row, size = words.row_of(), words.ends - words.starts
@@ -98,8 +116,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.bias + np.bincount(row, self.weights[at], minlength=len(rows)), -30, 30)))
 
 
-def fit(documents: list[np.ndarray], y: np.ndarray, identity: list[list[str]] | None = None, strength: float = STRENGTH, ridge: float = 1.0, most: int = MOST_FEATURES) -> Model | None:
-    """Newton's method on the penalised logistic loss; documents: distinct features of each labelled text."""
+def fit(documents: list[np.ndarray], y: np.ndarray, identity: list[list[str]] | None = None, strength: float = STRENGTH, ridge: float = 1.0, most: int = MOST_FEATURES, mentions: list[np.ndarray] | None = None) -> Model | None:
+    """Newton's method on the penalised logistic loss.
+
+    documents: distinct features of each labelled text; mentions: those of each
+    of their sentences that has an identity term (by default, the texts themselves).
+    """
     if len(np.unique(y)) < 2:
         return None
     flat = np.concatenate(documents)
@@ -121,16 +143,19 @@ def fit(documents: list[np.ndarray], y: np.ndarray, identity: list[list[str]] |
     x[owner[hit], at[hit]] = 1
     moved = []
     words = np.array(list(swaps), np.uint64)
-    for i, d in enumerate(documents):
+    for d in documents if mentions is None else mentions:
         found = d[np.isin(d, words)]
         if len(found):
-            other = x[i].copy()
+            k = np.searchsorted(used, d)
+            mine = np.zeros(x.shape[1])
+            mine[k[(k < len(used)) & (used[np.minimum(k, len(used) - 1)] == d)]] = 1
+            other = mine.copy()
             for f in found:
                 for features_, on in zip(swaps[f], (0, 1), strict=True):
                     k = np.searchsorted(used, features_)
                     k = k[(k < len(used)) & (used[np.minimum(k, len(used) - 1)] == features_)]
                     other[k] = on
-            moved.append(x[i] - other)
+            moved.append(mine - other)
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
     extra = 2 * strength * np.array(moved).T @ np.array(moved) if moved else 0
@@ -146,18 +171,49 @@ def fit(documents: list[np.ndarray], y: np.ndarray, identity: list[list[str]] |
     return Model(used, w[:-1], float(w[-1]))
 
 
+def _distinct(row: np.ndarray, f: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features by row, and where those of each of n rows begin (and the last end)."""
+    order = np.lexsort((f, row))
+    row, f = row[order], f[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (f[1:] != f[:-1])] if len(f) else np.empty(0, bool)
+    row, f = row[new], f[new]
+    return f, np.searchsorted(row, np.arange(n + 1))
+
+
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in K.slices(batch.column(1), K.SLICE // 4):
-            row, f = features(rows)
-            order = np.lexsort((f, row))
-            row, f = row[order], f[order]
-            new = np.r_[True, (row[1:] != row[:-1]) | (f[1:] != f[:-1])] if len(f) else np.empty(0, bool)
-            row, f = row[new], f[new]
-            offsets = np.searchsorted(row, np.arange(len(rows) + 1))
+            f, offsets = _distinct(*features(rows), len(rows))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.first, len(rows)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(f.view(np.int64)))], ["label", "x"])
 
 
+#: The label of rows that are sentences with an identity term.
+MENTION = -1
+
+
+def _chosen(wanted: np.ndarray, terms: np.ndarray):
+    """Of each labelled text the wanted features, and of each of its sentences with one of the terms as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in K.slices(batch.column(1), K.SLICE // 4):
+                for mentions, part in ((False, rows), (True, sentences(rows))):
+                    f, offsets = _distinct(*features(part), len(part))
+                    values = f.view(np.int64)
+                    hit = np.isin(values, wanted)
+                    kept = np.r_[0, np.cumsum(hit)][offsets]
+                    lists = pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.array(values[hit]))
+                    if mentions:
+                        some = np.r_[0, np.cumsum(np.isin(values, terms))][offsets]
+                        lists = lists.filter(pa.array(np.diff(some) > 0))
+                        labels = pa.array(np.full(len(lists), MENTION), pa.int32())
+                    else:
+                        labels = batch.column(0).slice(rows.first, len(rows))
+                    yield pa.RecordBatch.from_arrays([labels, lists], ["label", "x"])
+
+    return run
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _sparse(batches):
         offsets = batch.column(1).offsets.to_numpy()
@@ -185,18 +241,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, identity:
     z = F.abs(F.col("pos") - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)) + 1)
     top = counts.filter(F.col("n") >= LEAST).select("f", z.alias("z")).filter(F.col("z") >= SIGNIFICANT).orderBy(F.desc("z"), "f").limit(MOST_FEATURES).collect()
     wanted = np.unique(np.array([r.f for r in top] + terms, np.int64))
-
-    def chosen_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sparse(batches):
-            offsets = batch.column(1).offsets.to_numpy()
-            values = batch.column(1).values.to_numpy()
-            hit = np.isin(values, wanted)
-            kept = np.r_[0, np.cumsum(hit)][offsets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.array(values[hit]))], ["label", "x"])
-
-    rows = sample.mapInArrow(chosen_only, "label int, x array<long>").toArrow()
+    words = np.array(list(swaps), np.uint64).view(np.int64)
+    rows = sample.mapInArrow(_chosen(wanted, words), "label int, x array<long>").toArrow()
     data = sorted((y, sorted(x)) for x, y in zip(rows["x"].to_pylist(), rows["label"].to_pylist(), strict=True))
-    return fit([np.array(x, np.int64).view(np.uint64) for _, x in data], np.array([y for y, _ in data], float), identity, strength)
+    as_features = lambda keep: [np.array(x, np.int64).view(np.uint64) for y, x in data if keep(y)]
+    return fit(as_features(lambda y: y != MENTION), np.array([y for y, _ in data if y != MENTION], float), identity, strength, mentions=as_features(lambda y: y == MENTION))
 
 
 def _score(model: Model | None):
