@@ -43,9 +43,12 @@ def like(text: Column, pattern: Column) -> Column:
     return F.call_function("like", text, F.replace(pattern, F.lit("\\"), F.lit("\\\\")))
 
 
-def sum_(a: Column, distinct: bool = False) -> Column:
-    """Null when a bigint sum overflows."""
-    return F.sum_distinct(a) if distinct else F.try_sum(a)
+def sum_(a: Column, distinct: bool = False, kind: str = "double") -> Column:
+    """Null when a bigint sum overflows; kind: of a."""
+    if not distinct:
+        return F.try_sum(a)
+    # 38 digits hold the sum of any 10**19 bigints, and distinct ones are fewer.
+    return F.sum_distinct(a.cast("decimal(38,0)")).try_cast("bigint") if kind == "long" else F.sum_distinct(a)
 
 
 def cast(a: Column, source: str, target: str) -> Column:

@@ -86,6 +86,33 @@ def membership(spark, d):
     return log.members_after(changes, [0, 1, 2])
 
 
+@query("""WITH c AS (SELECT user_id % 11 AS grp, event_id AS idx, CASE WHEN event_type IN ('error', 'view') THEN 'remove' ELSE 'add' END AS op, user_id % 6 AS node, event_id - 1 - (event_id * 7) % 60 AS applied FROM events),
+k AS (SELECT grp, list({'op': op, 'n': node, 'a': applied, 'i': idx, 's': []::BIGINT[], 'h': []::BIGINT[]} ORDER BY idx) AS steps FROM c GROUP BY grp),
+s AS (SELECT grp, list_reduce(list_prepend({'op': '', 'n': 0, 'a': 0, 'i': 0, 's': [0, 1, 2]::BIGINT[], 'h': []::BIGINT[]}, steps), lambda v, t:
+  CASE WHEN coalesce(v.h[-1] <= t.a, TRUE) AND (t.op = 'add' OR (list_contains(v.s, t.n) AND len(v.s) > 1))
+  THEN {'op': '', 'n': 0, 'a': 0, 'i': 0, 's': CASE WHEN t.op = 'add' THEN list_distinct(list_append(v.s, t.n)) ELSE list_filter(v.s, lambda x: x <> t.n) END, 'h': list_append(v.h, t.i)} ELSE v END).h AS stood FROM k)
+SELECT grp, unnest(stood) AS idx FROM s""")
+def membership_in_flight(spark, d):
+    """Proposals against a group's log, one change in flight."""
+    remove, i = F.col("event_type").isin("error", "view"), F.col("event_id")
+    proposals = load(spark, d, "events").select((F.col("user_id") % 11).alias("grp"), i.alias("idx"), F.when(remove, "remove").otherwise("add").alias("op"), (F.col("user_id") % 6).alias("node"), (i - 1 - (i * 7) % 60).alias("applied"))
+    return log.admitted(proposals, [0, 1, 2])
+
+
+@query("SELECT event_id AS idx, greatest(user_id, least(event_id, user_id + 40)) AS committed FROM events")
+def log_commit_to(spark, d):
+    committed = log.commit_to(F.col("user_id"), F.col("event_id"), F.col("user_id") + 40)
+    return load(spark, d, "events").select(F.col("event_id").alias("idx"), committed.alias("committed"))
+
+
+@query(_COMMANDS.replace("FROM events)", "FROM events WHERE event_id <= (SELECT max(event_id) FROM events WHERE event_id % 3 = 1) - 40)") + _fold() + "SELECT key, value FROM s WHERE value IS NOT NULL")
+def kv_stale_read(spark, d):
+    """What a node that is forty entries behind answers."""
+    events = load(spark, d, "events")
+    progress = events.select((F.col("event_id") % 3).alias("node"), (F.col("event_id") - 40).alias("applied"))
+    return log.stale_state(_commands(events), progress, 1)
+
+
 def _log(spark, d) -> DataFrame:
     """One log per group of users; terms are 0 and 1."""
     return load(spark, d, "events").select((F.col("user_id") % 20).alias("grp"), F.col("event_id").alias("idx"), (F.col("user_id") % 2).alias("term"))
@@ -147,6 +174,17 @@ def log_bounds(spark, d):
 # --- The write-ahead log ------------------------------------------------------------
 
 
+@query("SELECT event_id AS idx FROM events WHERE event_id < 600 + (SELECT min(event_id) FROM events)")
+def wal_gap(spark, d):
+    """A record that is missing ends the log, though all that follow are intact."""
+    events = load(spark, d, "events")
+    first = events.agg(F.min("event_id").alias("m")).first().m
+    payload, i = F.col("props").cast("binary"), F.col("event_id")
+    held = events.filter(i != first + 600)
+    records = held.select(F.floor(i / 250).alias("segment"), i.alias("offset"), i.alias("idx"), F.col("user_id").alias("term"), payload.alias("payload"), F.crc32(payload).alias("crc"))
+    return wal.intact_prefix(records).select("idx")
+
+
 @query("SELECT event_id AS idx, user_id AS term FROM events WHERE event_id < (SELECT min(event_id) FROM events WHERE event_id % 997 = 0 AND event_id > 500)")
 def wal_intact_prefix(spark, d):
     """Records with damaged checksums end the log."""
@@ -233,6 +271,12 @@ def stream_kv_fold(spark, d):
     return updates.filter("exists").select("key", "value")
 
 
+@query(_COMMANDS + _fold() + "SELECT key, value FROM s WHERE value IS NOT NULL")
+def stream_kv_state(spark, d):
+    """Replay protection and the keyed fold, one stream after the other."""
+    return stream.fold_once(_commands(_stream(spark, d))).filter("exists").select("key", "value")
+
+
 @query(_COMMANDS + "SELECT idx, client_id, request_id FROM m WHERE NOT replayed")
 def stream_drop_replays(spark, d):
     kept = stream.run_to_files(stream.drop_replays(_commands(_stream(spark, d))), [], "append")

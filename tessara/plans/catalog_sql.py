@@ -10,7 +10,7 @@ from .registry import dialect, load, query
 
 # --- Projections, filters and predicates -----------------------------------
 
-dialect("scan_project_arith", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_quantity + l_tax * 2 AS q FROM lineitem")
+dialect("scan_select_arith", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_quantity + l_tax * 2 AS q FROM lineitem")
 dialect("filter_compare", "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_quantity >= 45 AND l_discount < 0.03 AND l_returnflag <> 'N' AND 'O' = l_linestatus")
 dialect(
     "filter_three_valued",

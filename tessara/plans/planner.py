@@ -37,6 +37,10 @@ class Typed:
     kind: str
 
 
+#: Arrays and the like: they are carried through, but nothing is computed from them.
+OTHER = "other"
+
+
 def kind_of(data_type: T.DataType) -> str:
     """The dialect's type of a Spark type."""
     if isinstance(data_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
@@ -50,6 +54,8 @@ def kind_of(data_type: T.DataType) -> str:
 
 
 def unify(a: str, b: str, what: str) -> str:
+    if OTHER in (a, b):
+        raise TypeMismatch(f"{what}: arrays, maps and structs can only be selected")
     if a == b or b == "null":
         return a
     if a == "null":
@@ -212,7 +218,7 @@ class Scope:
         if x.kind not in (*_NUMERIC, "null"):
             raise TypeMismatch(f"{name} takes numbers, not {x.kind}")
         if name == "SUM":
-            return Typed(S.sum_(_widen(x, "double") if x.kind == "null" else x.column, distinct), x.kind if x.kind != "null" else "double")
+            return Typed(S.sum_(_widen(x, "double") if x.kind == "null" else x.column, distinct, x.kind), x.kind if x.kind != "null" else "double")
         column = _widen(x, "double")
         return Typed(F.try_divide(F.sum_distinct(column), F.count_distinct(column)) if distinct else F.avg(column), "double")
 
@@ -241,10 +247,10 @@ class Planner:
             try:
                 kind = kind_of(f.dataType)
             except PlanError:
-                continue  # arrays and the like are out of the dialect's reach
+                kind = OTHER
             name, column = f"t{number}_{i}", "`" + f.name.replace("`", "``") + "`"
             fields.append(Field(ref.alias or ref.name, f.name, kind, name))
-            plain = kind == "null" or f.dataType.simpleString() == S.TYPES[kind]
+            plain = kind in ("null", OTHER) or f.dataType.simpleString() == S.TYPES[kind]
             columns.append(f"{column} AS {name}" if plain else f"CAST({column} AS {S.TYPES[kind]}) AS {name}")
         return df.selectExpr(*columns), fields  # one call to the JVM, however many columns there are
 

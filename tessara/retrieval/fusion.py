@@ -21,7 +21,7 @@ def _weight(weights: dict[str, float] | None) -> Column:
 
 def _combine(parts: DataFrame, k: int) -> DataFrame:
     summed = parts.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"), F.map_from_entries(F.collect_list(F.struct("source", "part"))).alias("components"))
-    return ranked(summed, k).join(summed.select("query_id", "chunk_id", "components"), ["query_id", "chunk_id"])
+    return ranked(summed, k, carry=["components"])
 
 
 def reciprocal_rank_fusion(rankings: DataFrame, k: int = 10, rrf_k: float = 60, weights: dict[str, float] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from .retrievers import Index, build_index
 
 #: A retriever takes queries(query_id, query) and k, and gives query_id, rank, chunk_id, score.
 Retriever = Callable[[DataFrame, int], DataFrame]
-#: Chunk size and overlap, and weights of the dense and the lexical side, that a sweep compares.
+#: The chunkings (size, overlap) and the weights (dense, lexical) of the published comparison.
 CHUNKINGS = ((200, 40), (400, 60), (800, 100))
 WEIGHTS = ((1.0, 1.0), (2.0, 1.0), (1.0, 2.0))
 
@@ -45,10 +45,10 @@ def configurations(docs: DataFrame, dim: int = 512, chunkings: tuple = CHUNKINGS
     """(name, index, retriever) of every configuration; one index per chunking."""
     for size, overlap in chunkings:
         index = build_index(docs, size, overlap, dim=dim)
-        yield f"dense(chunk={size})", index, retriever(index, "dense")
-        yield f"bm25(chunk={size})", index, retriever(index, "lexical")
+        yield f"vectors/{size}", index, retriever(index, "dense")
+        yield f"terms/{size}", index, retriever(index, "lexical")
         for d, w in weights:
-            yield f"hybrid(chunk={size},d={d:g},l={w:g})", index, retriever(index, "hybrid", d, w)
+            yield f"both/{size}/{d:g}:{w:g}", index, retriever(index, "hybrid", d, w)
 
 
 def sweep(docs: DataFrame, queries: DataFrame, labels: DataFrame, k: int = 10, dim: int = 512, **options) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,9 +54,37 @@ def extract(question: Column, texts: Column, most: int = 3) -> Column:
     return let(ranked, chosen)
 
 
-def answers(questions: DataFrame, ranked: DataFrame, most: int = 3, budget: int = BUDGET) -> DataFrame:
+class Generator(Protocol):
+    """Makes an answer, as an expression, from a question and the texts of its prompt."""
+
+    name: str
+
+    def __call__(self, question: Column, texts: Column) -> Column: ...
+
+
+@dataclass(frozen=True)
+class Extractive:
+    most: int = 3
+    name: str = "extractive"
+
+    def __call__(self, question: Column, texts: Column) -> Column:
+        return extract(question, texts, self.most)
+
+
+@dataclass(frozen=True)
+class Echo:
+    """One fixed reply, to measure retrieval apart from generation."""
+
+    reply: str = "ok"
+    name: str = "echo"
+
+    def __call__(self, question: Column, texts: Column) -> Column:
+        return F.lit(self.reply)
+
+
+def answers(questions: DataFrame, ranked: DataFrame, most: int = 3, budget: int = BUDGET, generate: Generator | None = None) -> DataFrame:
     """query_id, question, answer, citations: ids cited as [n], or all used ones where the answer cites none in range."""
-    p = prompts(questions, ranked, budget).withColumn("answer", extract(F.col("question"), F.col("texts"), most))
+    p = prompts(questions, ranked, budget).withColumn("answer", (generate or Extractive(most))(F.col("question"), F.col("texts")))
     cited = F.filter(citations(F.col("answer")), lambda n: (n >= 1) & (n <= F.size("chunks")))
     ids = F.transform(cited, lambda n: F.get("chunks", (n - 1).cast("int")))
     return p.select("query_id", "question", "answer", F.when(F.size(ids) > 0, ids).otherwise(F.col("chunks")).alias("citations"))

@@ -27,16 +27,29 @@ def session(name: str = "tessara", master: str | None = None, **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder that all executors share, from spark.checkpoint.dir; where it is unset, one of our own if all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{os.path.join(tempfile.gettempdir(), f'tessara-{os.getuid()}')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """What this application stages is under one folder of its own, which `clean` deletes."""
+    return f"{shared_dir(spark)}/tessara-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this application has staged; frames that read from it end with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: computed once, short in lineage, safe from lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

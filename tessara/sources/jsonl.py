@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.errors import SourceError
 
@@ -44,5 +45,14 @@ def dangling_labels(queries: DataFrame, documents: DataFrame) -> DataFrame:
     return labels_of(queries).join(documents.select("doc_id"), "doc_id", "left_anti").select("query_id", "doc_id")
 
 
+def write_dataset(documents: DataFrame, queries: DataFrame, folder: str) -> None:
+    """documents under corpus.jsonl and labelled queries, their ids sorted, under queries.jsonl, as the readers take them."""
+    write_jsonl(documents.select(*[c for c in documents.columns if c in T.StructType.fromDDL(DOCUMENTS).names]), f"{folder}/corpus.jsonl")
+    named = [c for c in queries.columns if c in T.StructType.fromDDL(QUERIES).names]
+    if "relevant_doc_ids" in named:
+        queries = queries.withColumn("relevant_doc_ids", F.array_sort("relevant_doc_ids"))
+    write_jsonl(queries.select(*named), f"{folder}/queries.jsonl")
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.json(path)

@@ -7,7 +7,7 @@ the first record, in (segment, offset) order, whose checksum or sequence fails.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "segment long, offset long, idx long, term long, payload binary, crc long"
@@ -24,9 +24,22 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 
 
 def intact_prefix(records: DataFrame) -> DataFrame:
-    """Records before the first damaged one.  Only that one position is looked for, so no global sort is needed."""
-    damaged = records.filter(F.coalesce(F.crc32("payload") != F.col("crc"), F.lit(True)))
-    first = damaged.agg(F.min(F.struct("segment", "offset")).alias("cut")).first().cut
+    """Records before the first that is damaged or missing.
+
+    Within a segment, offsets run without gaps; a segment starts at most one
+    past the greatest offset of those before it.  Only the first position that
+    breaks this is looked for, so no global sort is needed: gaps inside segments
+    are found by a join on the offset before, gaps between them among one row
+    per segment.
+    """
+    place = F.struct("segment", "offset").alias("at")
+    damaged = records.filter(F.coalesce(F.crc32("payload") != F.col("crc"), F.lit(True))).select(place)
+    bounds = records.groupBy("segment").agg(F.min("offset").alias("offset"), F.max("offset").alias("last"))
+    before = records.select("segment", (F.col("offset") + 1).alias("offset")).union(bounds.select("segment", "offset"))
+    gaps = records.join(before, ["segment", "offset"], "left_anti").select(place)
+    earlier = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    late = bounds.withColumn("reached", F.max("last").over(earlier)).filter(F.col("offset") > F.col("reached") + 1).select(place)
+    first = damaged.union(gaps).union(late).agg(F.min("at").alias("cut")).first().cut
     if first is None:
         return records
     return records.filter((F.col("segment") < first.segment) | ((F.col("segment") == first.segment) & (F.col("offset") < first.offset)))
@@ -37,8 +50,6 @@ def replay(records: DataFrame) -> DataFrame:
     intact = intact_prefix(records)
     starts = intact.groupBy("segment").agg(F.min("idx").alias("first"))
     # One row per append batch: what later batches truncate is the least of their first indices.
-    from pyspark.sql import Window
-
     later = Window.orderBy(F.desc("segment")).rowsBetween(Window.unboundedPreceding, -1)
     cuts = starts.select("segment", F.min("first").over(later).alias("cut"))
     return intact.join(cuts, "segment").filter("cut is null or idx < cut").select("idx", "term", "payload")

@@ -110,6 +110,38 @@ def members_after(changes: DataFrame, initial: list[int]) -> DataFrame:
     return steps.select(*by, F.explode(F.aggregate("steps", start, apply)).alias("node"))
 
 
+def admitted(proposals: DataFrame, initial: list[int]) -> DataFrame:
+    """[grp,] idx: the membership changes that stand, of proposals([grp,] idx, op add|remove, node, applied).
+
+    One change of a group is in flight at a time: a proposal stands only if the
+    last one that stood is at or below `applied`, what its log had applied then.
+    A voter is removed only if it is one, and not the last.
+    """
+    by = [c for c in ("grp",) if c in proposals.columns]
+    start = F.struct(F.array(*[F.lit(n).cast("long") for n in initial]).cast("array<bigint>").alias("voters"), F.array().cast("array<bigint>").alias("stood"))
+    step = F.struct("idx", "op", F.col("node").cast("long").alias("node"), "applied")
+    steps = proposals.groupBy(*by).agg(F.array_sort(F.collect_list(step)).alias("steps"))
+
+    def apply(s, c):
+        free = F.coalesce(F.element_at(s.stood, -1) <= c.applied, F.lit(True))
+        removable = F.array_contains(s.voters, c.node) & (F.size(s.voters) > 1)
+        voters = F.when(c.op == "add", F.array_union(s.voters, F.array(c.node))).otherwise(F.array_remove(s.voters, c.node))
+        return F.when(free & ((c.op == "add") | removable), F.struct(voters.alias("voters"), F.concat(s.stood, F.array(c.idx)).alias("stood"))).otherwise(s)
+
+    return steps.select(*by, F.explode(F.aggregate("steps", start, apply, lambda s: s.stood)).alias("idx"))
+
+
+def commit_to(committed: Column, to: Column, last: Column) -> Column:
+    """The commit index after a leader names `to`: it never moves back, nor past the last index held."""
+    return F.greatest(committed, F.least(to, last))
+
+
+def stale_state(commands: DataFrame, progress: DataFrame, node: int) -> DataFrame:
+    """key, value as one node of progress(node, applied) sees them: the log up to what that node has applied, be it behind."""
+    seen = progress.filter(F.col("node") == node).agg(F.max("applied").alias("applied")).first().applied
+    return state_as_of(commands, -1 if seen is None else seen)
+
+
 def quorum_commit(progress: DataFrame, log: DataFrame, term: int) -> DataFrame:
     """grp, commit: the greatest index on a majority of progress(grp, node, match), if log(grp, idx, term) has it in this term."""
     at = progress.groupBy("grp").agg(quorum(F.collect_list("match")).alias("idx"))

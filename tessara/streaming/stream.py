@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..session import shared_dir
+from ..session import own_dir
 from .log import fold_key
 
 COMMAND = "idx long, op string, key string, value string, expect string, expect_absent boolean, client_id long, request_id long"
@@ -64,27 +64,48 @@ def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes")
     return timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str, limit: float = 600) -> DataFrame:
     """Process all that is available into an in-memory table and return it (for tests and small states)."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination(600)
+    if not query.awaitTermination(limit):
+        query.stop()
+        raise TimeoutError(f"the stream had not ended after {limit} s")
     return stream.sparkSession.table(name)
 
 
-def run_to_files(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
-    """Process all that is available; each micro-batch is written to the shared folder, and the last row of every key returned.
+def run_through(stream: DataFrame, mode: str) -> str:
+    """Process all that is available; each micro-batch is written to a folder of its own, under the path that is returned.
 
     A batch that runs again after a failure overwrites its own folder, so results are exactly once.
     """
-    spark, at = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    at = f"{own_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/{number}")
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
     query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    written = spark.read.schema(stream.schema.add("batch", "integer")).option("recursiveFileLookup", "true").parquet(f"{at}/out")
+    return f"{at}/out"
+
+
+def run_to_files(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
+    """Process all that is available; the last row of every key, or all rows without keys."""
+    path = run_through(stream, mode)
+    written = stream.sparkSession.read.schema(stream.schema.add("batch", "integer")).option("recursiveFileLookup", "true").parquet(path)
     if not keys:
         return written.drop("batch")
     rest = [c for c in stream.columns if c not in keys]
     return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+
+
+def fold_once(commands: DataFrame) -> DataFrame:
+    """key, idx, value, exists after a stream of commands, each request of a client applied once.
+
+    Replays are dropped by client, and what passes is folded by key.  Both keep
+    state, so they are two streams: the first writes each micro-batch to the
+    shared folder, the second reads these as they come, all of a batch at once,
+    so that the commands of a key keep their order.
+    """
+    passed = run_through(drop_replays(commands), "append")
+    again = commands.sparkSession.readStream.schema(commands.schema).option("recursiveFileLookup", "true").parquet(passed)
+    return run_to_files(fold_state(again), ["key"])

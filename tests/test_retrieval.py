@@ -207,7 +207,7 @@ def test_sweep_and_command_line(spark, docs, tmp_path):
     jsonl.write_jsonl(docs.filter("text <> ''"), f"{tmp_path}/d")
     jsonl.write_jsonl(queries, f"{tmp_path}/q")
     outcomes = harness.sweep(docs, queries, jsonl.labels_of(queries), 2, 32, chunkings=((60, 10),), weights=((1.0, 1.0),))
-    assert {(r.config, r.queries) for r in harness.summary(outcomes).collect()} == {(c, 2) for c in ("dense(chunk=60)", "bm25(chunk=60)", "hybrid(chunk=60,d=1,l=1)")}
+    assert {(r.config, r.queries) for r in harness.summary(outcomes).collect()} == {(c, 2) for c in ("vectors/60", "terms/60", "both/60/1:1")}
     options = ["--corpus", f"{tmp_path}/d", "--dim", "32"]
     assert "recall@2" in cli.run(spark, ["eval", *options, "--queries", f"{tmp_path}/q", "-k", "2", "--retriever", "lexical"])
     assert "d3::0" in cli.run(spark, ["search", *options, "qubits"])

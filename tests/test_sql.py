@@ -139,3 +139,19 @@ def test_shell(ctx):
     said = []
     cli.shell(ctx, [".tables\n", ".schema cities\n", "SELECT COUNT(*) AS n\n", "FROM trips;\n", "SELECT nope;\n", ".timing off\n", "SELECT 1;\n", ".what\n", ".quit\n", "SELECT 2;\n"], said.append)
     assert said[0].split() == ["cities", "n", "trips"] and "pop long" in said[1] and "| 7 |" in said[2] and "(1 row) in" in said[2] and said[3].startswith("error:") and said[5].endswith("(1 row)") and len(said) == 7
+
+
+def test_star_carries_arrays_and_distinct_sums_overflow_to_null(spark):
+    from pyspark.sql import functions as F
+
+    from tessara.plans.errors import PlanError
+
+    top = 2**63 - 1
+    rows = spark.createDataFrame([(1, top, [1.5, 2.0]), (1, top, None), (1, 5, []), (2, 7, [0.0]), (2, 7, [1.0])], "g long, x long, v array<double>")
+    ctx = Context(spark).register("t", rows.withColumn("m", F.create_map(F.lit("a"), "x")))
+    got = ctx.plan("SELECT * FROM t WHERE g = 2")
+    assert got.columns == ["g", "x", "v", "m"] and sorted(tuple(r) for r in got.collect()) == [(2, 7, [0.0], {"a": 7}), (2, 7, [1.0], {"a": 7})]
+    assert sorted(map(tuple, ctx.plan("SELECT g, SUM(DISTINCT x) AS s FROM t GROUP BY g").collect())) == [(1, None), (2, 7)]
+    for bad in ("SELECT v + 1 FROM t", "SELECT g FROM t WHERE v = m", "SELECT SUM(v) FROM t"):
+        with pytest.raises(PlanError):
+            ctx.plan(bad)
