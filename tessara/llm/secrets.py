@@ -168,13 +168,13 @@ def best_stretch(token: Column, model: list[float], log_odds: float = LOG_ODDS,
 def _between(text: Column, spans: Column) -> tuple[Column, Column]:
     """What is left of text before, between and after the spans (sorted by start, overlaps merged), and the lengths of these merged spans."""
     none = F.array().cast("array<struct<start:int,end:int>>")
-    last = lambda acc: F.coalesce(F.element_at(acc, -1).end, F.lit(-1))
+    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)).end, F.lit(-1))
     pair = lambda a, b: F.array(F.struct(a.alias("start"), b.alias("end")))
     merged = F.aggregate(
         spans,
         none,
         lambda acc, s: F.when(F.size(acc) == 0, pair(s.start, s.end))
-        .when(s.start < last(acc), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), pair(F.element_at(acc, -1).start, F.greatest(last(acc), s.end))))
+        .when(s.start < last(acc), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), pair(F.try_element_at(acc, F.lit(-1)).start, F.greatest(last(acc), s.end))))
         .otherwise(F.concat(acc, pair(s.start, s.end))),
     )
     ends, starts = F.concat(F.array(F.lit(0)), merged.end), F.concat(merged.start, F.array(F.lit(2**31 - 1)))
