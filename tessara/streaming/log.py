@@ -123,7 +123,7 @@ def admitted(proposals: DataFrame, initial: list[int]) -> DataFrame:
     steps = proposals.groupBy(*by).agg(F.array_sort(F.collect_list(step)).alias("steps"))
 
     def apply(s, c):
-        free = F.coalesce(F.element_at(s.stood, -1) <= c.applied, F.lit(True))
+        free = F.coalesce(F.try_element_at(s.stood, F.lit(-1)) <= c.applied, F.lit(True))
         removable = F.array_contains(s.voters, c.node) & (F.size(s.voters) > 1)
         voters = F.when(c.op == "add", F.array_union(s.voters, F.array(c.node))).otherwise(F.array_remove(s.voters, c.node))
         return F.when(free & ((c.op == "add") | removable), F.struct(voters.alias("voters"), F.concat(s.stood, F.array(c.idx)).alias("stood"))).otherwise(s)
