@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..retrieval import chunking, dense, evaluate, fusion, rag
+from ..retrieval import chunking, dense, evaluate, fusion, hnsw, rag
 from ..retrieval.lexical import Bm25
 from ..retrieval.retrievers import build_index
 from .registry import load, query
@@ -163,6 +163,15 @@ def knn_lsh_recall(spark, d):
     return found.agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 6).alias("recall"))
 
 
+@query("""SELECT count(*) AS queries, TRUE AS enough FROM embeddings WHERE vec_id % 20 = 0""")
+def hnsw_recall(spark, d):
+    """Whether layered graphs find nine in ten of the exact neighbours, over all queries."""
+    vectors = load(spark, d, "embeddings")
+    queries = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = dense.recall(hnsw.search(queries, hnsw.build(vectors), 10), dense.nearest(queries, vectors, 10))
+    return found.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("enough"))
+
+
 @query("""SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm, round(list_sum(list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y))))), 6) AS total
 FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)""")
 def vector_normalize(spark, d):

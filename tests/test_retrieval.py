@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessara.functions import text as T
-from tessara.retrieval import chunking, cli, dense, evaluate, fusion, harness, rag
+from tessara.retrieval import chunking, cli, dense, evaluate, fusion, harness, hnsw, rag
 from tessara.retrieval.lexical import Bm25
 from tessara.retrieval.retrievers import build_index
 from tessara.sources import jsonl
@@ -214,3 +214,59 @@ def test_sweep_and_command_line(spark, docs, tmp_path):
     assert "[1] " in cli.run(spark, ["ask", *options, "--show-prompt", "What do qubits do in quantum computing?"])
     with pytest.raises(ValueError):
         harness.retriever(None, "nope")
+
+
+def test_layered_graphs(spark):
+    rng = np.random.RandomState(7)
+    centres = rng.randn(12, 16) * 3
+    x = np.stack([centres[i % 12] + 0.5 * rng.randn(16) for i in range(600)])
+    frame = lambda lo, hi: spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(lo, hi)] + [(9999 + lo, None)], "vec_id long, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(i % 10, [float(v) for v in x[i * 17]]) for i in range(20)] + [(None, [0.1] * 16), (3, None)], "query_id long, embedding array<float>")
+    for metric in hnsw.METRICS:
+        index = hnsw.build(frame(0, 600), metric, shard_rows=250)
+        found = hnsw.search(queries, index, 10, metric=metric)
+        exact = dense.nearest(queries, frame(0, 600), 10, metric)
+        got, want = ({(r.query_id, r.vec_id, r.score) for r in f.collect()} for f in (found, exact))
+        assert found.count() == 210 and len(got & want) >= 0.9 * len(want)
+    shards = {r.shard: r for r in hnsw.statistics(index).collect()}
+    assert len(shards) == 3 and sum(r.nodes for r in shards.values()) == 600 and all(r.layers >= 2 and r.links >= 8 for r in shards.values())
+    assert found.agg(F.max("compared")).first()[0] < 3 * 600
+    part = hnsw.build(frame(0, 400))
+    both = hnsw.add(part, frame(400, 600), "later")
+    near = dense.recall(hnsw.search(queries.limit(8).withColumn("query_id", F.monotonically_increasing_id()), both, 5), dense.nearest(queries.limit(8).withColumn("query_id", F.monotonically_increasing_id()), frame(0, 600), 5))
+    assert near.agg(F.avg("recall")).first()[0] >= 0.9
+    empty = hnsw.build(frame(0, 0))
+    assert empty.count() == 0 and hnsw.search(queries, empty, 5).count() == 0
+    for bad in ({"metric": "taxi"}, {"m": 1}):
+        with pytest.raises(ValueError):
+            hnsw.build(frame(0, 3), **bad)
+
+
+def test_repeated_and_null_query_ids_are_all_answered(spark, monkeypatch):
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 4)
+    x = np.random.RandomState(1).randn(30, 4)
+    vectors = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame([(i, [float(v) for v in x[k]]) for k, i in enumerate([None] * 5 + [1, 1, 1, 1, 1, 2])], "query_id long, embedding array<float>")
+    got = dense.nearest(queries, vectors, 2).collect()
+    assert len(got) == 22 and sorted(r.vec_id for r in got if r.rank == 1) == list(range(11))
+
+
+def test_hyperplanes_find_nine_in_ten(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    queries = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = dense.recall(dense.nearest_lsh(queries, vectors, 10), dense.nearest(queries, vectors, 10))
+    assert found.agg(F.avg("recall")).first()[0] >= 0.9
+
+
+def test_generators_and_data_set_sink(spark, tmp_path):
+    ranked = spark.createDataFrame([("q", 1, "c1", "Rivers flow to the sea."), ("q", 2, "c2", "Mountains are high.")], "query_id string, rank int, chunk_id string, text string")
+    questions = spark.createDataFrame([("q", "Where do rivers flow?")], "query_id string, question string")
+    assert rag.answers(questions, ranked, generate=rag.Echo("same")).first().answer == "same"
+    assert rag.answers(questions, ranked).first().answer == rag.answers(questions, ranked, generate=rag.Extractive(3)).first().answer
+    docs = spark.createDataFrame([("b", "text b", {"title": "B"}), ("a", "text a", None)], jsonl.DOCUMENTS)
+    queries = spark.createDataFrame([("q1", "what", ["b", "a"], None, None), ("q2", "who", ["a"], {"a": 2.0}, "x")], jsonl.QUERIES)
+    jsonl.write_dataset(docs, queries, f"{tmp_path}/set")
+    back = jsonl.read_documents(spark, f"{tmp_path}/set/corpus.jsonl")
+    assert sorted(r.doc_id for r in back.collect()) == ["a", "b"]
+    asked = {r.query_id: r for r in jsonl.read_queries(spark, f"{tmp_path}/set/queries.jsonl", back).collect()}
+    assert asked["q1"].relevant_doc_ids == ["a", "b"] and asked["q2"].gains == {"a": 2.0}
