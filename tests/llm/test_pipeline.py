@@ -80,3 +80,16 @@ def test_near_duplicates_keep_texts_of_null_and_shared_ids(spark, tmp_path):
     assert len(left) == 1 and left[0][0] is None
     want = rows[1:5] + rows[6:9] + [rows[11]] + rows[13:15] + rows[16:]
     assert sorted([r for r in got if r not in left], key=repr) == sorted(want, key=repr)
+
+
+def test_empty_tables_and_many_null_ids(spark, tmp_path):
+    docs = pq.read_table(f"{SF}/documents.parquet")
+    pq.write_table(pq.read_table(f"{SF}/labels.parquet"), tmp_path / "labels.parquet")
+    pq.write_table(docs.slice(0, 0), tmp_path / "documents.parquet")
+    assert P.run(spark, str(tmp_path)).collect() == []
+    unnamed = docs.slice(0, 40).set_column(0, "doc_id", pa.nulls(40, pa.int64()))
+    pq.write_table(pa.concat_tables([unnamed, docs.slice(40, 40)]), tmp_path / "documents.parquet")
+    whole = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = P.near_duplicates(spark, whole, str(tmp_path)).collect()
+    texts = {r["text"] for r in docs.slice(0, 80).to_pylist()}
+    assert len({r.text for r in kept}) > 0.7 * len(texts) and sum(r.doc_id is None for r in kept) > 25
