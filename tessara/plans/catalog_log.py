@@ -63,8 +63,18 @@ def kv_results(spark, d):
     return log.results(_commands(load(spark, d, "events")).filter("op <> 'cas'"))
 
 
-@query()
+_WITH_CAS = """, k AS (SELECT key, list({'i': idx, 'op': op, 'v': value, 'x': expect, 'a': expect_absent, 's': NULL::VARCHAR, 'out': []::STRUCT(i BIGINT, a BOOLEAN, p VARCHAR, e BOOLEAN)[]} ORDER BY idx) AS steps FROM m WHERE NOT replayed GROUP BY key),
+f AS (SELECT list_reduce(list_prepend({'i': 0::BIGINT, 'op': '', 'v': '', 'x': '', 'a': FALSE, 's': NULL::VARCHAR, 'out': []::STRUCT(i BIGINT, a BOOLEAN, p VARCHAR, e BOOLEAN)[]}, steps), lambda s, t: {'i': 0::BIGINT, 'op': '', 'v': '', 'x': '', 'a': FALSE,
+  's': CASE WHEN t.op = 'delete' THEN NULL WHEN t.op = 'put' OR (t.a AND s.s IS NULL) OR (NOT t.a AND s.s = t.x) THEN t.v ELSE s.s END,
+  'out': list_append(s.out, {'i': t.i, 'a': CASE WHEN t.op = 'put' THEN TRUE WHEN t.op = 'delete' THEN s.s IS NOT NULL WHEN t.a THEN s.s IS NULL ELSE coalesce(s.s = t.x, FALSE) END, 'p': s.s, 'e': s.s IS NOT NULL})}).out AS out FROM k),
+r AS (SELECT unnest(out) AS o FROM f),
+w AS (SELECT idx, replayed, CASE WHEN replayed THEN max(CASE WHEN NOT replayed THEN idx END) OVER (PARTITION BY client_id ORDER BY idx) ELSE idx END AS source FROM m)
+SELECT w.idx, w.replayed, r.o.a AS applied, r.o.p AS previous, r.o.e AS existed FROM w JOIN r ON r.o.i = w.source"""
+
+
+@query(_COMMANDS + _WITH_CAS)
 def kv_results_with_cas(spark, d):
+    """The result of every command; a replay gets that of its client's latest request before it."""
     return log.all_results(_commands(load(spark, d, "events")))
 
 

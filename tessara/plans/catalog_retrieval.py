@@ -144,6 +144,14 @@ def knn_cosine(spark, d):
     return _knn(spark, d, "cosine")
 
 
+@query("""SELECT query_id % 40 AS query_id, rank, vec_id, score FROM (""" + _knn_sql("list_cosine_similarity(a, b)") + ")")
+def knn_repeated_ids(spark, d):
+    """Query rows that share an id are answered one by one."""
+    vectors = load(spark, d, "embeddings")
+    queries = vectors.filter("vec_id % 20 = 0").select((F.col("vec_id") % 40).alias("query_id"), "embedding")
+    return dense.nearest(queries, vectors, 10).withColumn("score", F.round("score", 6))
+
+
 @query(_knn_sql("-list_distance(a, b)"))
 def knn_l2(spark, d):
     return _knn(spark, d, "l2")

@@ -122,6 +122,11 @@ dialect(
     "SELECT o_orderstatus, SUM(9223372036854775807 - o_orderkey) AS s FROM orders GROUP BY o_orderstatus",
     "SELECT o_orderstatus, CASE WHEN count(*) > 1 THEN NULL ELSE min(9223372036854775807 - o_orderkey) END::BIGINT AS s FROM orders GROUP BY o_orderstatus",
 )
+dialect(
+    "sum_distinct_overflow_is_null",
+    "SELECT o_orderstatus, SUM(DISTINCT 9223372036854775807 - o_orderkey) AS s, SUM(DISTINCT o_orderkey % 7) AS t FROM orders GROUP BY o_orderstatus",
+    "SELECT o_orderstatus, CASE WHEN count(DISTINCT o_orderkey) > 1 THEN NULL ELSE min(9223372036854775807 - o_orderkey) END::BIGINT AS s, sum(DISTINCT o_orderkey % 7)::BIGINT AS t FROM orders GROUP BY o_orderstatus",
+)
 dialect("distinct_aggregates", "SELECT l_returnflag, SUM(DISTINCT l_linenumber) AS s, AVG(DISTINCT l_quantity) AS a, MIN(DISTINCT l_tax) AS m FROM lineitem GROUP BY l_returnflag",
     "SELECT l_returnflag, sum(DISTINCT l_linenumber)::BIGINT AS s, avg(DISTINCT l_quantity) AS a, min(l_tax) AS m FROM lineitem GROUP BY l_returnflag")
 dialect("order_by_aggregate", "SELECT c_mktsegment FROM customer GROUP BY c_mktsegment ORDER BY COUNT(*) DESC, c_mktsegment")
