@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[a-z0-9]+(?:[-_'][a-z0-9]+)*"
+#: The words that searches may leave out.
 STOPWORDS = "a an and are as at be but by for from has have in is it its of on or that the to was were with".split()
 
 

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..retrieval import chunking, dense, evaluate, fusion, hnsw, rag
 from ..retrieval.lexical import Bm25
-from ..retrieval.retrievers import build_index
+from ..retrieval.retrievers import Index, build_index
 from .registry import load, query
 
 #: In DuckDB: the tokens of a text, white space, and a text without white space at its ends.
@@ -370,7 +370,8 @@ def answer_extract(spark, d):
     return rag.answers(questions, ranked).select("query_id", "answer", F.array_join("citations", ",").alias("citations"))
 
 
-@query("""SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM documents) AS chunks, round(avg(length(text)), 1) AS mean_chars FROM documents""")
+@query(_BM25 + """SELECT count(*) AS documents, count(*) AS chunks, round(avg(length(text)), 1) AS mean_chars, (SELECT count(*) FROM df) AS terms FROM documents""")
 def index_status(spark, d):
-    chunks = load(spark, d, "documents")
-    return chunks.agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("chunks"), F.round(F.avg(F.length("text")), 1).alias("mean_chars"))
+    """The state of a lexical index over whole documents."""
+    chunks = _chunks(spark, d).withColumn("doc_id", F.col("chunk_id"))
+    return Index(chunks, Bm25.fit(chunks), None, None).status()

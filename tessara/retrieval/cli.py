@@ -19,6 +19,7 @@ COMMANDS = ("search", "ask", "eval", "sweep")
 
 def _parser() -> argparse.ArgumentParser:
     common = argparse.ArgumentParser(add_help=False)
+    # Names and defaults of the flags.
     common.add_argument("--corpus", required=True)
     common.add_argument("--chunk-size", type=int, default=400)
     common.add_argument("--chunk-overlap", type=int, default=60)

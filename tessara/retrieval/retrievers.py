@@ -42,7 +42,7 @@ class Index:
     def status(self) -> DataFrame:
         """Counts of documents, chunks and terms, and the mean chunk length to one decimal."""
         counts = self.chunks.agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("chunks"), F.round(F.avg(F.length("text")), 1).alias("mean_chars"))
-        return counts.withColumn("terms", F.lit(self.bm25.vocabulary_size()))
+        return counts.withColumn("terms", F.lit(self.bm25.vocabulary_size()).cast("long"))
 
 
 def build_index(docs: DataFrame, size: int = 400, overlap: int = 60, strategy: str = "recursive", dim: int = 384) -> Index:

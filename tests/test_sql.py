@@ -8,6 +8,7 @@ from tessara.plans.errors import ParseError, PlanError, SourceError, TypeMismatc
 from tessara.plans.parser import parse, show
 from tessara.sources.csv import CsvOptions, read_csv_text
 
+#: Small tables and what queries on them give.
 TRIPS = """id,city,fare,rider,tip,day
 1,Austin,12.50,ann,2.0,2024-01-05
 2,Dallas,8.00,bob,,2024-01-06
