@@ -1,11 +1,11 @@
 """Secret scans: fixed patterns, plus character Markov models of random strings and ordinary identifiers.
 
 Base spans come from three patterns.  In what they leave, tokens of 8 characters
-or more are scored under two first-order character models, one of random strings
-and one of ordinary identifiers, both trained from labelled samples: a token's
-best stretch is the run of transitions with the largest sum of log-likelihood
-ratios, each less a toll, and it is a secret if that sum is over the log of the
-prior odds.  The toll ends a stretch where words begin, so words joined to a
+or more that hold a digit or a change from lower to upper case are scored under
+two first-order character models, one of random strings and one of ordinary
+identifiers, both trained from labelled samples: a token's best stretch is the
+run of transitions with the largest sum of log-likelihood ratios, each less a
+toll, and it is a secret if that sum is over the log of the prior odds.  The toll ends a stretch where words begin, so words joined to a
 random string neither hide it nor go with it.  Stretches under about twelve
 characters may carry too little evidence, whatever they are.
 Everything runs as DataFrame expressions.
@@ -32,8 +32,9 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 #: in one run of their characters, the first match has the most characters after it.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-#: Tokens under 8 characters are not scored.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{8,}"
+#: Tokens under 8 characters, and words of letters without a change from lower to upper case, are not scored.
+#: A match begins where its token does, so that each token is looked through once, however long.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9]|[A-Za-z+/_=-]*?[a-z][A-Z])[A-Za-z0-9+/_=-]{8,}"
 KINDS = ["assign", "access", "hex", "markov"]
 #: Documents that labelled samples are taken from: those with the smallest hashes of their id.
 SAMPLE_DOCS = 4000
