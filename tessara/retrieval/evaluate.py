@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import answer_words, let
+from ..functions.text import answer_words, let, trimmed
 
 CUTOFFS = (1, 3, 5, 10, 20)
 
@@ -54,8 +54,10 @@ def failures(scored: DataFrame, metric: str, threshold: float = 0.0) -> DataFram
 def compare(scored: DataFrame, metric: str) -> DataFrame:
     """config, mean, best, spread of scored(config, ..., metric) over its configurations."""
     by = scored.groupBy("config").agg(F.avg(f"`{metric}`").alias("mean"))
-    all_ = by.agg(F.max("mean").alias("top"), F.min("mean").alias("low"))
-    return by.join(F.broadcast(all_), F.lit(True)).select("config", "mean", (F.col("mean") == F.col("top")).alias("best"), (F.col("top") - F.col("low")).alias("spread"))
+    # One row per configuration, and each mean is taken once: sums of doubles differ in their last bits when they are taken again.
+    all_ = Window.partitionBy(F.lit(0))
+    top, low = F.max("mean").over(all_), F.min("mean").over(all_)
+    return by.select("config", "mean", (F.col("mean") == top).alias("best"), (top - low).alias("spread"))
 
 
 def percentiles(values: DataFrame, column: str, points: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
@@ -81,7 +83,7 @@ def exact_match(prediction: Column, truth: Column) -> Column:
 
 def groundedness(answer: Column, context: Column, span: int = 24) -> Column:
     """The fraction of the answer's sentences of which some run of `span` characters stands in the context."""
-    parts = F.filter(F.transform(F.split(answer, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    parts = trimmed(F.split(answer, r"(?<=[.!?])\s+"))
 
     def found(sentence: Column, low: Column) -> Column:
         def inside(t: Column) -> Column:

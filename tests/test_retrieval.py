@@ -270,3 +270,18 @@ def test_generators_and_data_set_sink(spark, tmp_path):
     assert sorted(r.doc_id for r in back.collect()) == ["a", "b"]
     asked = {r.query_id: r for r in jsonl.read_queries(spark, f"{tmp_path}/set/queries.jsonl", back).collect()}
     assert asked["q1"].relevant_doc_ids == ["a", "b"] and asked["q2"].gains == {"a": 2.0}
+
+
+def test_a_part_keeps_the_digit_of_its_place(spark):
+    said = "".join(f"{i % 10} is {i % 10}. " for i in range(25)) + " End. "
+    row = spark.createDataFrame([(said,)], "t string").select(T.sentences(F.col("t")).alias("s"), evaluate.groundedness(F.col("t"), F.col("t")).alias("g")).first()
+    assert row.s == [f"{i % 10} is {i % 10}." for i in range(25)] + ["End."] and row.g == 1
+
+
+def test_configurations_are_averaged_once(spark, capsys):
+    """A mean that is taken twice may differ from itself in its last bits, and no configuration is best then."""
+    scored = spark.range(100).select((F.col("id") % 3).alias("config"), (F.col("id") / 7).alias("score"))
+    evaluate.compare(scored, "score").explain()
+    assert capsys.readouterr().out.count("Range (") == 1
+    rows = {r.config: r for r in evaluate.compare(scored, "score").collect()}
+    assert [c for c, r in rows.items() if r.best] == [2] and abs(rows[0].spread - 1 / 7) < 1e-12
