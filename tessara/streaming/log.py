@@ -6,6 +6,8 @@ op is put, delete or cas.  The log is ordered by idx.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from ..operators.relational import quorum
 from ..operators.scans import running_max
 
+#: No group: a null is one.
+_NONE = object()
 RESULT = "idx long, key string, client_id long, request_id long, applied boolean, previous string, existed boolean"
 
 
@@ -118,17 +122,34 @@ def admitted(proposals: DataFrame, initial: list[int]) -> DataFrame:
     A voter is removed only if it is one, and not the last.
     """
     by = [c for c in ("grp",) if c in proposals.columns]
-    start = F.struct(F.array(*[F.lit(n).cast("long") for n in initial]).cast("array<bigint>").alias("voters"), F.array().cast("array<bigint>").alias("stood"))
-    step = F.struct("idx", "op", F.col("node").cast("long").alias("node"), "applied")
-    steps = proposals.groupBy(*by).agg(F.array_sort(F.collect_list(step)).alias("steps"))
-
-    def apply(s, c):
-        free = F.coalesce(F.try_element_at(s.stood, F.lit(-1)) <= c.applied, F.lit(True))
-        removable = F.array_contains(s.voters, c.node) & (F.size(s.voters) > 1)
-        voters = F.when(c.op == "add", F.array_union(s.voters, F.array(c.node))).otherwise(F.array_remove(s.voters, c.node))
-        return F.when(free & ((c.op == "add") | removable), F.struct(voters.alias("voters"), F.concat(s.stood, F.array(c.idx)).alias("stood"))).otherwise(s)
-
-    return steps.select(*by, F.explode(F.aggregate("steps", start, apply, lambda s: s.stood)).alias("idx"))
+    dealt = proposals.repartition("grp") if by else proposals.repartition(1)
+    rows = dealt.select(*by, "idx", "op", F.col("node").cast("long").alias("node"), "applied")
+    kinds = dict(proposals.dtypes)
+    shape = ", ".join(f"{c} {kinds[c]}" for c in (*by, "idx"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grp, voters, last = _NONE, set(initial), None
+        for batch in batches:
+            stood = []
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("idx", "op", "node", "applied")]
+            groups = batch.column(0).to_pylist() if by else [None] * batch.num_rows
+            for at, (g, idx, op, node, applied) in enumerate(zip(groups, *columns, strict=True)):
+                if g != grp:
+                    grp, voters, last = g, set(initial), None
+                if last is not None and applied is not None and last > applied:
+                    continue
+                if op == "add":
+                    voters.add(node)
+                elif node is not None and node in voters and len(voters) > 1:
+                    voters.remove(node)
+                else:
+                    continue
+                stood.append(at)
+                last = idx
+            yield batch.select([*by, "idx"]).take(pa.array(stood, pa.int64()))
+
+    # A group is one task's by its nature, but only its voters and its last change are held.
+    return rows.sortWithinPartitions(*by, "idx", "op", "node", "applied").mapInArrow(run, shape)
 
 
 def commit_to(committed: Column, to: Column, last: Column) -> Column:

@@ -125,3 +125,24 @@ def test_wal(spark, tmp_path):
     assert [r.idx for r in wal.replay(torn).orderBy("idx").collect()] == [1, 2]
     snaps = records.select("idx", "payload", "crc").filter("idx > 1")
     assert wal.newest_intact(snaps.withColumn("crc", F.when(F.col("idx") == 4, 0).otherwise(F.col("crc")))).first().idx == 3 and wal.retained(snaps).count() == 3
+
+
+def test_admitted_changes_hold_no_log_of_a_group(spark, capsys):
+    r = random.Random(3)
+    rows = [(r.choice([None, 1, 2]), i, r.choice(["add", "remove", None]), r.choice([None, 1, 2, 3, 4]), r.choice([None, i - 1, i - r.randint(1, 9)])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "grp long, idx long, op string, node long, applied long").repartition(7)
+    for by in (True, False):
+        want, state = set(), {}
+        for g, idx, op, node, applied in rows:
+            voters, last = state.setdefault(g if by else None, ({1, 2, 3}, []))
+            if last and applied is not None and last[-1] > applied:
+                continue
+            if op != "add" and (node is None or node not in voters or len(voters) < 2):
+                continue
+            (voters.add if op == "add" else voters.remove)(node)
+            last.append(idx)
+            want.add((g, idx) if by else (idx,))
+        got = log.admitted(df if by else df.drop("grp"), [1, 2, 3])
+        assert {tuple(x) for x in got.collect()} == want
+        got.explain()
+        assert "collect_list" not in capsys.readouterr().out
