@@ -285,3 +285,16 @@ def test_configurations_are_averaged_once(spark, capsys):
     assert capsys.readouterr().out.count("Range (") == 1
     rows = {r.config: r for r in evaluate.compare(scored, "score").collect()}
     assert [c for c, r in rows.items() if r.best] == [2] and abs(rows[0].spread - 1 / 7) < 1e-12
+
+
+def test_neighbour_searches_make_no_pairs(spark, capsys):
+    x = np.random.RandomState(2).randint(0, 3, (400, 6)).astype(float)  # many ties
+    vectors = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    queries = vectors.filter("vec_id < 20").withColumnRenamed("vec_id", "query_id")
+    near = dense.nearest_lsh(queries, vectors, 5, tables=40, bits=1)
+    near.explain()
+    assert "Join" not in capsys.readouterr().out
+    assert {tuple(r) for r in near.collect()} == {tuple(r) for r in dense.nearest(queries, vectors, 5).collect()}
+    s, v = np.round(x[:20] @ x.T), np.broadcast_to(np.arange(400), (20, 400))
+    got = dense._best(s, v, 7)
+    assert all(got[1][i].tolist() == sorted(range(400), key=lambda j: (-s[i, j], j))[:7] for i in range(20))
