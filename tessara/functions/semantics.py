@@ -20,8 +20,10 @@ def subtract(a: Column, b: Column) -> Column:
     return F.try_subtract(a, b)
 
 
-def multiply(a: Column, b: Column) -> Column:
-    return F.try_multiply(a, b)
+def multiply(a: Column, b: Column, kind: str = "double") -> Column:
+    """Null when a bigint product overflows.  Products that surely do are told by their doubles: an exception for each row is slow."""
+    product = F.try_multiply(a, b)
+    return F.when(F.abs(a.cast("double") * b.cast("double")) < 9.3e18, product) if kind == "long" else product
 
 
 def divide(a: Column, b: Column) -> Column:

@@ -140,7 +140,9 @@ class Scope:
         kind = unify(a.kind, b.kind, op)
         if kind == "null":
             return Typed(F.lit(None), "null")
-        make: Callable = {"+": S.add, "-": S.subtract, "*": S.multiply, "%": S.remainder}[op]
+        if op == "*":
+            return Typed(S.multiply(_widen(a, kind), _widen(b, kind), kind), kind)
+        make: Callable = {"+": S.add, "-": S.subtract, "%": S.remainder}[op]
         return Typed(make(_widen(a, kind), _widen(b, kind)), kind)
 
     def _compare(self, op: str, a: Typed, b: Typed, shown: str) -> Column:

@@ -156,3 +156,17 @@ def test_star_carries_arrays_and_distinct_sums_overflow_to_null(spark):
     for bad in ("SELECT v + 1 FROM t", "SELECT g FROM t WHERE v = m", "SELECT SUM(v) FROM t"):
         with pytest.raises(PlanError):
             ctx.plan(bad)
+
+
+def test_products_that_overflow_raise_no_exceptions(spark):
+    from pyspark.sql import functions as F
+
+    from tessara.functions import semantics as S
+
+    top = 2**63 - 1
+    pairs = [(top, 1), (-(2**63), 1), (-(2**63), -1), (3037000499, 3037000500), (3037000500, 3037000500), (top, 2), (top, top), (2**62, 2), (2**62, -2), (0, top), (None, 2)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    want = [None if a is None or not -(2**63) <= a * b <= top else a * b for a, b in pairs]
+    assert [r.p for r in df.select(S.multiply(F.col("a"), F.col("b"), "long").alias("p")).collect()] == want
+    plan = df.select(S.multiply(F.col("a"), F.col("b"), "long").alias("p"))._jdf.queryExecution().toString()
+    assert "9.3E18" in plan  # what surely overflows is not multiplied
