@@ -113,7 +113,7 @@ class HashingEmbedder:
 
                     for i, t in enumerate(read):
                         counts = Counter(features(t, gram))
-                        for f in counts.keys() - known.keys():
+                        for f in (f for f in counts if f not in known):
                             index, sign = bucket(f, dim, seed)
                             rows.append(i)
                             names.append(f)
@@ -126,7 +126,9 @@ class HashingEmbedder:
             parts = given.mapInArrow(rare, f"{id_column} {kind}, feature string, at int, weight double").join(idf, "feature", "left")
             sums = parts.groupBy(id_column, "at").agg(F.sum(F.col("weight") * F.coalesce("idf", F.lit(1.0))).alias("weight"))
             sums = sums.groupBy(id_column).agg(F.collect_list(F.struct("at", "weight")).alias("s"))
-            given = given.join(sums, id_column, "left").select(id_column, "text", F.col("s.at").alias("at"), F.col("s.weight").alias("weight"))
+            # The work after the join is Python's, so it is dealt out by number: by bytes it would be few tasks.
+            tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            given = given.repartition(tasks, id_column).join(sums, id_column, "left").select(id_column, "text", F.col("s.at").alias("at"), F.col("s.weight").alias("weight"))
         weighted = self.idf is not None
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

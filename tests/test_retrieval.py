@@ -298,3 +298,13 @@ def test_neighbour_searches_make_no_pairs(spark, capsys):
     s, v = np.round(x[:20] @ x.T), np.broadcast_to(np.arange(400), (20, 400))
     got = dense._best(s, v, 7)
     assert all(got[1][i].tolist() == sorted(range(400), key=lambda j: (-s[i, j], j))[:7] for i in range(20))
+
+
+def test_rare_features_find_their_idf(spark, docs, monkeypatch):
+    """Whether a feature's idf is known to every task or comes from the table, the vectors are the same."""
+    want = {r.doc_id: r.embedding for r in dense.HashingEmbedder(dim=16).fit_idf(docs).embed(docs, "doc_id").collect()}
+    for frequent, held in ((0, 1), (5, 3)):
+        monkeypatch.setattr(dense, "FREQUENT", frequent)
+        monkeypatch.setattr(dense, "HELD", held)
+        got = {r.doc_id: r.embedding for r in dense.HashingEmbedder(dim=16).fit_idf(docs).embed(docs, "doc_id").collect()}
+        assert all(np.allclose(got[i], v, atol=1e-6) for i, v in want.items())
