@@ -289,8 +289,7 @@ def stream_kv_state(spark, d):
 
 @query(_COMMANDS + "SELECT idx, client_id, request_id FROM m WHERE NOT replayed")
 def stream_drop_replays(spark, d):
-    kept = stream.run_to_files(stream.drop_replays(_commands(_stream(spark, d))), [], "append")
-    return kept.select("idx", "client_id", "request_id")
+    return stream.fresh(_commands(_stream(spark, d))).select("idx", "client_id", "request_id")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")

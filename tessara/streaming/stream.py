@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import own_dir
-from .log import fold_key
+from .log import fold_key, with_replays
 
 COMMAND = "idx long, op string, key string, value string, expect string, expect_absent boolean, client_id long, request_id long"
 OUT = "key string, idx long, value string, exists boolean"
@@ -23,7 +23,11 @@ def read_commands(spark, path: str, files_per_trigger: int = 1) -> DataFrame:
 
 
 def drop_replays(commands: DataFrame) -> DataFrame:
-    """Per client, requests above the greatest id so far; client 0 passes."""
+    """Per client, requests above the greatest id so far; client 0 passes.
+
+    A stream again, for small micro-batches: a client's rows of one are held and
+    sorted together.  run_without_replays takes those of any size.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values("idx")
@@ -73,27 +77,51 @@ def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str, limit
     return stream.sparkSession.table(name)
 
 
-def run_through(stream: DataFrame, mode: str) -> str:
-    """Process all that is available; each micro-batch is written to a folder of its own, under the path that is returned.
+def run_through(stream: DataFrame, mode: str, each: Callable[[DataFrame, int, str], DataFrame] = lambda batch, number, at: batch) -> str:
+    """Process all that is available; what `each` makes of a micro-batch is written to a folder of its own, under the path that is returned.
 
     A batch that runs again after a failure overwrites its own folder, so results are exactly once.
     """
     at = f"{own_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+        each(batch, number, at).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
     query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return f"{at}/out"
 
 
+def run_without_replays(commands: DataFrame) -> str:
+    """Like run_through of drop_replays, for micro-batches of any size: no client's rows are held.
+
+    Within a micro-batch the running maximum of a client is taken in two levels,
+    as in log.with_replays.  The greatest id of each client so far is a table of
+    the micro-batch before, written anew for each.
+    """
+    seen = "client_id long, greatest long"
+
+    def each(batch: DataFrame, number: int, at: str) -> DataFrame:
+        spark = batch.sparkSession
+        before = spark.read.schema(seen).parquet(f"{at}/seen/{number - 1}") if number else spark.createDataFrame([], seen)
+        named = batch.filter("coalesce(client_id, 0) <> 0")
+        greatest = before.unionByName(named.groupBy("client_id").agg(F.max("request_id").alias("greatest")))
+        greatest.groupBy("client_id").agg(F.max("greatest").alias("greatest")).write.mode("overwrite").parquet(f"{at}/seen/{number}")
+        fresh = with_replays(batch).filter("not replayed").drop("replayed").join(before, "client_id", "left")
+        return fresh.filter("greatest is null or request_id is null or request_id > greatest").select(*batch.columns)
+
+    return run_through(commands, "append", each)
+
+
+def fresh(commands: DataFrame) -> DataFrame:
+    """Process all that is available; the commands that are no replays."""
+    return commands.sparkSession.read.schema(commands.schema).option("recursiveFileLookup", "true").parquet(run_without_replays(commands))
+
+
 def run_to_files(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
-    """Process all that is available; the last row of every key, or all rows without keys."""
+    """Process all that is available; the last row of every key."""
     path = run_through(stream, mode)
     written = stream.sparkSession.read.schema(stream.schema.add("batch", "integer")).option("recursiveFileLookup", "true").parquet(path)
-    if not keys:
-        return written.drop("batch")
     rest = [c for c in stream.columns if c not in keys]
     return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
@@ -106,6 +134,6 @@ def fold_once(commands: DataFrame) -> DataFrame:
     shared folder, the second reads these as they come, all of a batch at once,
     so that the commands of a key keep their order.
     """
-    passed = run_through(drop_replays(commands), "append")
+    passed = run_without_replays(commands)
     again = commands.sparkSession.readStream.schema(commands.schema).option("recursiveFileLookup", "true").parquet(passed)
     return run_to_files(fold_state(again), ["key"])

@@ -146,3 +146,16 @@ def test_admitted_changes_hold_no_log_of_a_group(spark, capsys):
         assert {tuple(x) for x in got.collect()} == want
         got.explain()
         assert "collect_list" not in capsys.readouterr().out
+
+
+def test_replays_of_a_stream_hold_no_rows_of_a_client(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream, "drop_replays", None)  # it holds a client's rows of a micro-batch
+    df = spark.createDataFrame([x for x in history(11, 300) if x[1]] + [(900 + i, "put", f"n{i}", "v", "v", False, c, r) for i, (c, r) in enumerate([(None, 1), (None, 0), (1, None), (0, 0), (1, -5), (77, 3)])], SCHEMA)
+    for k in range(3):
+        df.filter((F.col("idx") > k * 100) & ((F.col("idx") <= (k + 1) * 100) | (k == 2))).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    want = sorted(r.idx for r in log.effective(df).collect())
+    for files in (1, 9):
+        commands = stream.read_commands(spark, f"{tmp_path}/log", files)
+        assert sorted(r.idx for r in stream.fresh(commands).collect()) == want
+        got = {r.key: r.value for r in stream.fold_once(commands).filter("exists").collect()}
+        assert got == {r.key: r.value for r in log.state_as_of(df).collect()}
