@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessara.functions import text as T
-from tessara.retrieval import chunking, cli, dense, evaluate, fusion, harness, hnsw, lexical, rag
+from tessara.plans.catalog_queries import QUERIES
+from tessara.retrieval import chunking, cli, dense, evaluate, fusion, harness, hnsw, lexical, rag, retrievers
 from tessara.retrieval.lexical import Bm25
 from tessara.retrieval.retrievers import build_index
+from tessara.session import staged
 from tessara.sources import jsonl
 
 DOCS = [("d1", "The quick brown fox jumps over the lazy dog."), ("d2", "A lazy dog sleeps all day. Dogs like sun."), ("d3", "Quantum computing uses qubits and superposition."), ("d4", "Foxes hunt at night; the fox is quick."), ("d5", "")]
@@ -245,6 +247,20 @@ def test_hybrid_and_jsonl(spark, docs, tmp_path):
         jsonl.read_queries(spark, f"{tmp_path}/q", read.filter("doc_id = 'd1'"))
 
 
+def test_hybrid_search_keeps_no_vectors(spark, tmp_path, monkeypatch):
+    r = random.Random(8)
+    words = [f"word{i}" for i in range(40)]
+    spark.createDataFrame([(i, " ".join(r.choices(words, k=r.randint(0, 90)))) for i in range(60)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, " ".join(r.choices(words, k=5))) for i in range(9)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = []
+    monkeypatch.setattr(retrievers, "staged", lambda df, name: kept.append(name) or staged(df, name))
+    found = QUERIES["search_hybrid"](spark, str(tmp_path))
+    once = sorted(map(tuple, found.collect()))
+    assert "vectors" not in kept and len(once) == 90
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 4)
+    assert sorted(map(tuple, QUERIES["search_hybrid"](spark, str(tmp_path)).collect())) == once and "vectors" in kept
+
+
 def test_sweep_and_command_line(spark, docs, tmp_path):
     rows = [("q1", "quantum qubits", ["d3"], None), ("q2", "lazy dog", ["d1", "d2"], {"d2": 3.0}), ("q3", "unlabelled", [], None)]
     queries = spark.createDataFrame(rows, "query_id string, query string, relevant_doc_ids array<string>, gains map<string,double>")
