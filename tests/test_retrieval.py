@@ -247,7 +247,26 @@ def test_hybrid_and_jsonl(spark, docs, tmp_path):
         jsonl.read_queries(spark, f"{tmp_path}/q", read.filter("doc_id = 'd1'"))
 
 
-def test_hybrid_search_keeps_no_vectors(spark, tmp_path, monkeypatch):
+def test_bm25_reads_texts_once(spark, docs, tmp_path, capsys):
+    def noted(batches):
+        for b in batches:
+            with open(tmp_path / "read", "a") as f:
+                f.write("x" * b.num_rows)
+            yield b
+
+    index = Bm25.fit(docs.withColumnRenamed("doc_id", "chunk_id").mapInArrow(noted, "chunk_id string, text string"))
+    assert (tmp_path / "read").read_text() == "x" * len(DOCS)
+    want = {(w, i, len(tokens(t)), tokens(t).count(w)) for i, t in DOCS for w in tokens(t)}
+    assert sorted(map(tuple, index.postings.select("term", "chunk_id", "dl", "tf").collect())) == sorted(want)
+    parts = index.contributions(spark.createDataFrame([("q", "fox")], "query_id string, query string"))
+    assert {(x.chunk_id, x.term) for x in parts.collect()} == {("d1", "fox"), ("d4", "fox")}
+    assert (tmp_path / "read").read_text() == "x" * len(DOCS)
+    capsys.readouterr()
+    parts.explain()
+    assert not re.search("Join|Exchange", capsys.readouterr().out)  # postings are not dealt out by term
+
+
+def test_hybrid_search_keeps_no_index(spark, tmp_path, monkeypatch):
     r = random.Random(8)
     words = [f"word{i}" for i in range(40)]
     spark.createDataFrame([(i, " ".join(r.choices(words, k=r.randint(0, 90)))) for i in range(60)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -256,7 +275,7 @@ def test_hybrid_search_keeps_no_vectors(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(retrievers, "staged", lambda df, name: kept.append(name) or staged(df, name))
     found = QUERIES["search_hybrid"](spark, str(tmp_path))
     once = sorted(map(tuple, found.collect()))
-    assert "vectors" not in kept and len(once) == 90
+    assert kept == ["chunks"] and len(once) == 90
     monkeypatch.setattr(dense, "QUERY_BLOCK", 4)
     assert sorted(map(tuple, QUERIES["search_hybrid"](spark, str(tmp_path)).collect())) == once and "vectors" in kept
 
