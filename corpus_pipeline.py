@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # Rows of one group that are kept have one id, that of the group.
     chosen = found.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("id"), F.min("text_key").alias("key"))
     free = found.filter("root is null").select("doc_id", "text_key").distinct()
-    kept = staged(chosen.select("id", "key", F.lit(False).alias("free")).union(free.select("doc_id", "text_key", F.lit(True))), "kept")
+    kept = staged(chosen.select("id", "key", F.lit(False).alias("free")).union(free.select("doc_id", "text_key", F.lit(True))), "kept", docs.count())
     same = docs["doc_id"].eqNullSafe(kept["id"]) & (text_key(docs["text"]) == kept["key"])
     rest = docs.select(*COLUMNS).join(kept, same)
     if not _repeated(docs):

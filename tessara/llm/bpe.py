@@ -232,6 +232,7 @@ def _encode(ranks: bytes, pattern: str, decoded: bool):
                     made = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))]
                 names = ["ids_sha256", "decoded_sha256"] if decoded else ["ids"]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(np.diff(at)), *made], [*batch.schema.names[1:], "n_tokens", *names])
+        K.give_back()
 
     return run
 

@@ -7,6 +7,8 @@ UTF-8 finds the same words as a scan of code points.  Rows never share words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +29,13 @@ _SIZE, _STEP = (_U(0x2545F4914F6CDD1D), _U(0x9E3779B97F4A7C15)), (_U(0xD6E8FEB86
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are kept for later tasks, and their allocators keep what the largest batch took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: an invertible scrambling of 64-bit values."""
     x = x ^ (x >> _U(30))

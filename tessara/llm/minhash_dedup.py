@@ -256,7 +256,7 @@ def _compare(floors: list[int], n: int, percent: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root for every node of edges(a, b): alternating large-star and small-star steps until nothing moves.
+    """node, root for every node of edges(a, b), a staged table: alternating large-star and small-star steps until nothing moves.
 
     Each step is a partial aggregate and a join, staged in the shared folder; no component is gathered in one task.
     """
@@ -268,15 +268,15 @@ def components(edges: DataFrame) -> DataFrame:
     def least_neighbour(e: DataFrame) -> DataFrame:
         return e.groupBy("a").agg(F.min("b").alias("m"))
 
-    edges = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    edges = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges", edges.count())
     before = state(edges)
     while True:
         both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("a", "b")
         large = both.join(least_neighbour(both), "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        large = staged(large, "large")
+        large = staged(large, "large", before[0])
         least = least_neighbour(large)
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(least.toDF("a", "b")).distinct()
-        edges = staged(small, "edges")
+        edges = staged(small, "edges", before[0])
         now = state(edges)
         if now == before:
             return edges.toDF("node", "root")
@@ -310,11 +310,14 @@ def grouped(docs: DataFrame, n: int = 5, percent: int = 80, miss: float = 1e-6)
         .agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.first("sign").alias("sign"))
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
+        signed.count(),
     )
+    n_nodes = nodes.count()
     signs = nodes.select("node", "sign")
     members = signs.mapInArrow(_bands, "band long, node long")
     shared = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    members = staged(members.join(shared, "band"), "members")
+    members = staged(members.join(shared, "band"), "members", 4 * n_nodes)
+    n_members = members.count()
     # A bucket is led by its most central member: the one with the most company over all its buckets.
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
     central = members.join(company, "node").groupBy("band").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("leader"))
@@ -325,12 +328,12 @@ def grouped(docs: DataFrame, n: int = 5, percent: int = 80, miss: float = 1e-6)
     pairs = counted.groupBy(F.col("node").alias("b")).agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("a"))
     survivors = pairs.join(signs.toDF("b", "y"), "b").join(signs.toDF("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(_prune(floors), "a long, b long")
     involved = members.select("node").distinct().join(nodes.select("node", "text_key"), "node")
-    texts = staged(keyed.groupBy("text_key").agg(F.first("text").alias("text")).join(involved, "text_key").select("node", "text"), "texts")
+    texts = staged(keyed.groupBy("text_key").agg(F.first("text").alias("text")).join(involved, "text_key").select("node", "text"), "texts", n_nodes)
     compared = survivors.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
     links = staged(small_batches(compared).mapInArrow(_verify(n, percent), "a long, b long"), "links")
 
     # In buckets that hold several components, members outside the largest meet all others, in blocks.
-    rooted = staged(_rooted(members.select("band", "node"), components(links)), "rooted")
+    rooted = staged(_rooted(members.select("band", "node"), components(links)), "rooted", n_members)
     by_root = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
     mixed = (
         by_root.groupBy("band")
@@ -348,7 +351,7 @@ def grouped(docs: DataFrame, n: int = 5, percent: int = 80, miss: float = 1e-6)
     as_query = F.when(F.col("outside"), F.transform(numbers(F.col("nm")), lambda m: cell(own_q, m, F.lit(True), F.lit(False)))).otherwise(F.array())
     as_member = F.transform(numbers(F.col("nq")), lambda q: cell(q, own_m, F.lit(False), F.lit(True)))
     cells = F.when(single, F.array(cell(F.lit(0), F.lit(0), F.col("outside"), F.lit(True)))).otherwise(F.concat(as_query, as_member))
-    blocks = staged(open_.select("band", "node", "root", F.explode(cells).alias("cell")).select("band", "node", "root", "cell.*"), "blocks")
+    blocks = staged(open_.select("band", "node", "root", F.explode(cells).alias("cell")).select("band", "node", "root", "cell.*"), "blocks", n_members)
 
     def dealt(rows: DataFrame):
         shards = max(1, -(-rows.count() // SHARD_ROWS))
